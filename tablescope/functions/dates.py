@@ -7,26 +7,32 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablescope import fixed_values as fv
-from tablescope.functions.numbers import _SPACES
-from tablescope.functions.text import to_ascii_digits
+from tablescope.functions.numbers import tidy
+from tablescope.functions.text import let
 
 _JALALI = r"^(1[2-5]\d\d)[/\-.](\d{1,2})[/\-.](\d{1,2})$"
 
 _TIME = r"(?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?(?: ?(?:Z|UTC|[+-]\d{2}:?\d{2}))?)?"
+# Years a nanosecond timestamp can hold, 1678 to 2261; other years are rejected.
+_YEAR = r"(?:167[89]|16[89]\d|1[7-9]\d\d|2[01]\d\d|22[0-5]\d|226[01])"
+_ISO = rf"^({_YEAR}-\d{{1,2}}-\d{{1,2}}{_TIME})$"
+_YEAR_FIRST = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})"
+# Each other form, and how it is turned into ISO.
+_TO_ISO = (
+    (r"^(1[3-9]|2\d|3[01])([-/.])(\d{1,2})\2(\d{4})(?=$|[ T])", "$4-$3-$1"),  # day first
+    (r"^(\d{1,2})([-/.])(\d{1,2})\2(\d{4})(?=$|[ T])", "$4-$1-$3"),  # month first
+    (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"),
+    (r"^(\d{4})[-/](\d{1,2})$", "$1-$2-01"),
+)
 _MONTHS = (
-    "(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|"
-    "sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
+    ("jan(?:uary)?", 1), ("feb(?:ruary)?", 2), ("mar(?:ch)?", 3), ("apr(?:il)?", 4), ("may", 5),
+    ("june?", 6), ("july?", 7), ("aug(?:ust)?", 8), ("sep(?:tember)?", 9), ("oct(?:ober)?", 10),
+    ("nov(?:ember)?", 11), ("dec(?:ember)?", 12),
 )
-_YEAR_FIRST = rf"^(\d{{4}})[-/.](\d{{1,2}})[-/.](\d{{1,2}})({_TIME})$"
-_YEAR_LAST = rf"^(\d{{1,2}})([-/.])(\d{{1,2}})\2(\d{{4}})({_TIME})$"
-_COMPACT = r"^(\d{4})(\d{2})(\d{2})$"
-_MONTH_ONLY = r"^(\d{4})[-/](\d{1,2})$"
-_MONTH_NAME_FIRST = rf"(?i)^({_MONTHS})\.? (\d{{1,2}}),? (\d{{4}})$"
-_DAY_FIRST_NAME = rf"(?i)^(\d{{1,2}})[ -]({_MONTHS})\.?,?[ -](\d{{4}})$"
-_MONTH_NUMBERS = "JanFebMarAprMayJunJulAugSepOctNovDec"
-
-# Years a nanosecond timestamp can hold; other years are rejected.
-_FIRST_YEAR, _LAST_YEAR = 1678, 2261
+_ANY_MONTH = "(?:" + "|".join(name for name, _ in _MONTHS) + ")"
+_NAMED = rf"(?i)^(?:{_ANY_MONTH}\.? \d|\d{{1,2}}[ -]{_ANY_MONTH}\b)"
+_OTHER_FORM = r"^(?:\d{1,2}[-/.]\d{1,2}[-/.]\d{4}(?:$|[ T])|\d{8}$|\d{4}[-/]\d{1,2}$)"
+
 # Norouz 1404 anchors the Solar Hijri calendar.
 _ANCHOR_YEAR, _ANCHOR_DATE = 1404, "2025-03-21"
 
@@ -59,20 +65,28 @@ def jalali_to_date(year: Column, month: Column, day: Column, strict_days: bool =
     return F.when(valid, F.date_add(jalali_year_start(year), offset.cast("int")))
 
 
-def _clean(col: Column) -> Column:
-    return F.trim(to_ascii_digits(col), F.lit(_SPACES))
-
-
 def _jalali(text: Column, strict_days: bool) -> Column:
-    def part(i):
-        return F.regexp_extract(text, _JALALI, i).try_cast("int")
-    return jalali_to_date(part(1), part(2), part(3), strict_days)
+    def date_of(parts: Column) -> Column:
+        return jalali_to_date(parts[0].cast("int"), parts[1].cast("int"), parts[2].cast("int"), strict_days)
+    return let(F.split(text, r"[/\-.]"), date_of).cast("timestamp")
 
 
 def parse_jalali(col: Column, strict_days: bool = False) -> Column:
     """``1405/02/31`` and the like as a Gregorian timestamp, NULL otherwise."""
-    text = _clean(col)
-    return F.when(text.rlike(_JALALI), _jalali(text, strict_days)).cast("timestamp")
+    return let(tidy(col), lambda text: F.when(text.rlike(_JALALI), _jalali(text, strict_days)))
+
+
+def _iso(text: Column, steps) -> Column:
+    """Apply each rewriting to text of its form; NULL unless ISO comes out."""
+    for pattern, replacement in steps:
+        text = F.regexp_replace(text, pattern, replacement)
+    return F.regexp_extract(text, _ISO, 1).try_cast("timestamp")
+
+
+def _named_month_steps():
+    for name, number in _MONTHS:
+        yield rf"(?i)^{name}\.? (\d{{1,2}}),? (\d{{4}})$", f"$2-{number:02d}-$1"
+        yield rf"(?i)^(\d{{1,2}})[ -]{name}\.?,?[ -](\d{{4}})$", f"$2-{number:02d}-$1"
 
 
 def parse_dates(col: Column, data_type: T.DataType | None = None,
@@ -86,28 +100,17 @@ def parse_dates(col: Column, data_type: T.DataType | None = None,
     """
     if isinstance(data_type, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return col.cast("timestamp")
-    text = _clean(col)
-
-    def month_number(name: Column) -> Column:
-        return (F.instr(F.lit(_MONTH_NUMBERS), F.initcap(F.substring(name, 1, 3))) + 2) / 3
-
-    def named(pattern: str, day: int, month: int) -> Column:
-        number = month_number(F.regexp_extract(text, pattern, month)).cast("int").cast("string")
-        return F.concat_ws("-", F.regexp_extract(text, pattern, 3), number,
-                           F.regexp_extract(text, pattern, day))
-
-    iso = (
-        F.when(text.rlike(_YEAR_FIRST), F.regexp_replace(text, _YEAR_FIRST, "$1-$2-$3$4"))
-        .when(text.rlike(_YEAR_LAST), F.regexp_replace(text, _YEAR_LAST, "$4-$1-$3$5"))
-        .when(text.rlike(_COMPACT), F.regexp_replace(text, _COMPACT, "$1-$2-$3"))
-        .when(text.rlike(_MONTH_ONLY), F.regexp_replace(text, _MONTH_ONLY, "$1-$2-01"))
-        .when(text.rlike(_MONTH_NAME_FIRST), named(_MONTH_NAME_FIRST, 2, 1))
-        .when(text.rlike(_DAY_FIRST_NAME), named(_DAY_FIRST_NAME, 1, 2))
-    )
-    day_first = F.when(text.rlike(_YEAR_LAST), F.regexp_replace(text, _YEAR_LAST, "$4-$3-$1$5"))
-    gregorian = F.coalesce(iso.try_cast("timestamp"), day_first.try_cast("timestamp"))
-    in_range = F.when(F.year(gregorian).between(_FIRST_YEAR, _LAST_YEAR), gregorian)
-    return F.when(text.rlike(_JALALI), _jalali(text, strict_days).cast("timestamp")).otherwise(in_range)
+    return date_in_tidy(tidy(col), strict_days)
+
+
+def date_in_tidy(col: Column, strict_days: bool = False) -> Column:
+    """:func:`parse_dates` for text that is already tidy."""
+    return let(col, lambda text: (
+        F.when(text.rlike(_JALALI), _jalali(text, strict_days))
+        .when(text.rlike(_YEAR_FIRST), _iso(text, [(_YEAR_FIRST, "$1-$2-$3")]))
+        .when(text.rlike(_OTHER_FORM), _iso(text, _TO_ISO))
+        .when(text.rlike(_NAMED), _iso(text, _named_month_steps()))
+    ))
 
 
 def has_date_name(name: str) -> bool:

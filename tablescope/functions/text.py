@@ -12,7 +12,10 @@ from pyspark.sql.types import StringType
 
 from tablescope import fixed_values as fv
 
-_WHITE = r"[\s\x1c-\x1f]+"
+# White space other than the plain blank, as Python's str.isspace sees it.
+OTHER_SPACES = (
+    r"\t-\r\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 # Characters NFKC leaves alone in any combination with each other, apart from
 # the order of vowel signs, which normalize_text deletes anyway. A row made of
@@ -37,14 +40,39 @@ def _nfkc(col: Column) -> Column:
     return F.pandas_udf(nfkc, StringType())(col)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` uses it.
+
+    Keeps long regular-expression chains from being written out again at every
+    use, which would make the generated code too large to compile.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
+def is_ascii(col: Column) -> Column:
+    """True for pure ASCII text: as many bytes as characters."""
+    return F.octet_length(col) == F.char_length(col)
+
+
 def to_ascii_digits(col: Column) -> Column:
     """Persian and Arabic-Indic digits as ASCII digits."""
-    return F.translate(col, fv.PERSIAN_DIGITS + fv.ARABIC_DIGITS, fv.ASCII_DIGITS * 2)
+    return let(col, lambda text: F.when(is_ascii(text), text).otherwise(
+        F.translate(text, fv.PERSIAN_DIGITS + fv.ARABIC_DIGITS, fv.ASCII_DIGITS * 2)))
 
 
 def needs_nfkc(col: Column) -> Column:
     """True where Unicode compatibility forms may occur, so NFKC has to look."""
-    return col.rlike(f"[^{NFKC_STABLE}]")
+    return ~is_ascii(col) & col.rlike(f"[^{NFKC_STABLE}]")
+
+
+def _collapse_spaces(text: Column) -> Column:
+    """Each run of white space as one blank, none around.
+
+    The cheap tests decide whether the regular expression has to run at all.
+    """
+    other = F.when(is_ascii(text), text.rlike(r"[\t-\r\x1c-\x1f]")).otherwise(text.rlike(f"[{OTHER_SPACES}]"))
+    uneven = text.contains("  ") | other
+    return F.trim(F.when(uneven, F.regexp_replace(text, f"[ {OTHER_SPACES}]+", " ")).otherwise(text))
 
 
 def normalize_text(col: Column, unicode_forms: bool = True) -> Column:
@@ -57,8 +85,8 @@ def normalize_text(col: Column, unicode_forms: bool = True) -> Column:
     """
     if unicode_forms:
         col = F.coalesce(_nfkc(F.when(needs_nfkc(col), col)), col)
-    plain = F.translate(col, _FROM, _TO)
-    return F.trim(F.regexp_replace(plain, f"(?U){_WHITE}", " "))
+    plain = let(col, lambda text: F.when(is_ascii(text), text).otherwise(F.translate(text, _FROM, _TO)))
+    return let(plain, _collapse_spaces)
 
 
 def empty_to_null(col: Column) -> Column:

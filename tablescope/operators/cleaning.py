@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablescope import fixed_values as fv
-from tablescope.functions.dates import has_date_name, parse_dates
-from tablescope.functions.numbers import parse_number
+from tablescope.functions.dates import date_in_tidy, has_date_name
+from tablescope.functions.numbers import number_in_tidy
 from tablescope.functions.text import has_hint, needs_nfkc, normalize_column_name
 from tablescope.operators import dedupe
 from tablescope.operators.distinct import distinct_counts, long_form, quoted
@@ -113,9 +113,9 @@ def _text_stats(raw: DataFrame, positions: list[int], unicode_forms: bool, optio
         *[clean_input(F.col(f"c{i}"), T.StringType(), unicode_forms).alias(f"n{i}") for i in positions])
     table = table.select(
         "*",
-        *[parse_number(F.col(f"n{i}"), options.signed_thousands, options.decimal_style).alias(f"p{i}")
+        *[number_in_tidy(F.col(f"n{i}"), options.signed_thousands, options.decimal_style).alias(f"p{i}")
           for i in positions],
-        *[parse_dates(F.col(f"n{i}"), strict_days=options.strict_days).alias(f"d{i}")
+        *[date_in_tidy(F.col(f"n{i}"), options.strict_days).alias(f"d{i}")
           for i in positions])
     sums = dict(extra)
     for i in positions:

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tablescope import fixed_values as fv
-from tablescope.functions.dates import parse_dates
-from tablescope.functions.numbers import parse_number
+from tablescope.functions.dates import date_in_tidy
+from tablescope.functions.numbers import number_in_tidy
 from tablescope.functions.text import empty_to_null, normalize_text
 from tablescope.operators.distinct import quoted
 from tablescope.operators.labels import replace_labels
@@ -91,9 +91,9 @@ class CleaningPlan:
 
     def _typed(self, col, decision: ColumnDecision):
         if decision.kind == "number":
-            return parse_number(col, self.options.signed_thousands, self.options.decimal_style)
+            return number_in_tidy(col, self.options.signed_thousands, self.options.decimal_style)
         if decision.kind == "date":
-            return parse_dates(col, strict_days=self.options.strict_days)
+            return date_in_tidy(col, self.options.strict_days)
         if decision.kind == "text":
             out = replace_labels(col, decision.labels)
             return F.nullif(out, F.lit("nan")) if decision.nan_is_null else out
