@@ -75,6 +75,11 @@ def _collapse_spaces(text: Column) -> Column:
     return F.trim(F.when(uneven, F.regexp_replace(text, f"[ {OTHER_SPACES}]+", " ")).otherwise(text))
 
 
+def compatible_forms(col: Column) -> Column:
+    """NFKC by an Arrow function that only sees the rows which need it."""
+    return F.coalesce(_nfkc(F.when(needs_nfkc(col), col)), col)
+
+
 def normalize_text(col: Column, unicode_forms: bool = True) -> Column:
     """Spell equivalent labels alike.
 
@@ -84,13 +89,13 @@ def normalize_text(col: Column, unicode_forms: bool = True) -> Column:
     all other rows travel to it as NULL and stay on the JVM side.
     """
     if unicode_forms:
-        col = F.coalesce(_nfkc(F.when(needs_nfkc(col), col)), col)
+        col = compatible_forms(col)
     plain = let(col, lambda text: F.when(is_ascii(text), text).otherwise(F.translate(text, _FROM, _TO)))
     return let(plain, _collapse_spaces)
 
 
 def empty_to_null(col: Column) -> Column:
-    return F.nullif(col, F.lit(""))
+    return let(col, lambda text: F.when(text != "", text))
 
 
 def contains_any(col: Column, words) -> Column:

@@ -13,7 +13,9 @@ from pyspark.sql import types as T
 from tablescope import fixed_values as fv
 from tablescope.functions.dates import date_in_tidy, has_date_name
 from tablescope.functions.numbers import number_in_tidy
-from tablescope.functions.text import has_hint, needs_nfkc, normalize_column_name
+from tablescope.functions.text import (
+    compatible_forms, empty_to_null, has_hint, let, needs_nfkc, normalize_column_name, normalize_text,
+)
 from tablescope.operators import dedupe
 from tablescope.operators.distinct import distinct_counts, long_form, quoted
 from tablescope.operators.labels import collect_labels, merge_map
@@ -22,8 +24,8 @@ from tablescope.plans.cleaning_plan import (
 )
 from tablescope.session import materialize
 
-# Columns per statistics job; more would outgrow one generated method.
-_CHUNK = 30
+# Text columns per statistics job.
+_CHUNK = 50
 # Partial statistics are first merged by this many tasks, then by one.
 _MERGERS = 64
 
@@ -108,24 +110,32 @@ def _flag(condition):
 def _text_stats(raw: DataFrame, positions: list[int], unicode_forms: bool, options: CleaningOptions,
                 extra: dict) -> tuple[dict[int, _TextStats], object]:
     """Statistics of normalised text columns, and of ``extra`` sums, in one job."""
-    table = raw.select(
-        "*",
-        *[clean_input(F.col(f"c{i}"), T.StringType(), unicode_forms).alias(f"n{i}") for i in positions])
-    table = table.select(
-        "*",
-        *[number_in_tidy(F.col(f"n{i}"), options.signed_thousands, options.decimal_style).alias(f"p{i}")
-          for i in positions],
-        *[date_in_tidy(F.col(f"n{i}"), options.strict_days).alias(f"d{i}")
-          for i in positions])
+    forms = {i: compatible_forms(F.col(f"c{i}")) if unicode_forms else F.col(f"c{i}") for i in positions}
+    cells = F.array(*[F.struct(F.col(f"c{i}").cast("string").alias("old"), forms[i].alias("text"))
+                      for i in positions])
+
+    def look(cell):
+        def judge(new):
+            return F.struct(
+                new.alias("new"),
+                (F.coalesce(cell["old"], F.lit("")) != F.coalesce(new, F.lit(""))).alias("changed"),
+                needs_nfkc(cell["old"]).alias("odd"),
+                number_in_tidy(new, options.signed_thousands, options.decimal_style).isNotNull().alias("number"),
+                date_in_tidy(new, options.strict_days).isNotNull().alias("date"))
+        return let(empty_to_null(normalize_text(cell["text"], False)), judge)
+
+    # One expression for the cells of all columns, so the plan stays small
+    # however many columns there are.
+    table = raw.withColumn("cells", cells)
+    if positions:
+        table = table.withColumn("seen", F.transform("cells", look))
     sums = dict(extra)
-    for i in positions:
-        old, new = F.coalesce(F.col(f"c{i}"), F.lit("")), F.coalesce(F.col(f"n{i}"), F.lit(""))
-        sums[f"filled{i}"] = _flag(F.col(f"n{i}").isNotNull())
-        sums[f"changed{i}"] = _flag(old != new)
-        sums[f"odd{i}"] = _flag(F.coalesce(needs_nfkc(F.col(f"c{i}")), F.lit(False)))
-        sums[f"numbers{i}"] = _flag(F.col(f"p{i}").isNotNull())
-        sums[f"dates{i}"] = _flag(F.col(f"d{i}").isNotNull())
-    row = _two_step(table, sums, {f"labels{i}": F.col(f"n{i}") for i in positions})
+    for k, i in enumerate(positions):
+        seen = F.col("seen")[k]
+        sums[f"filled{i}"] = _flag(seen["new"].isNotNull())
+        for name, part in (("changed", "changed"), ("odd", "odd"), ("numbers", "number"), ("dates", "date")):
+            sums[f"{name}{i}"] = _flag(seen[part])
+    row = _two_step(table, sums, {f"labels{i}": F.col("seen")[k]["new"] for k, i in enumerate(positions)})
     fields = ("filled", "changed", "odd", "numbers", "dates", "labels")
     return {i: _TextStats(**{f: int(row[f"{f}{i}"] or 0) for f in fields}) for i in positions}, row
 
