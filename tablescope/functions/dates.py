@@ -33,6 +33,9 @@ _ANY_MONTH = "(?:" + "|".join(name for name, _ in _MONTHS) + ")"
 _NAMED = rf"(?i)^(?:{_ANY_MONTH}\.? \d|\d{{1,2}}[ -]{_ANY_MONTH}\b)"
 _OTHER_FORM = r"^(?:\d{1,2}[-/.]\d{1,2}[-/.]\d{4}(?:$|[ T])|\d{8}$|\d{4}[-/]\d{1,2}$)"
 
+_LONGEST = 40
+_START = r"^(?:\d+[-/. ]|\d{8}$|[JFMASONDjfmasond][A-Za-z]{2,8}\.? \d)"
+
 # Norouz 1404 anchors the Solar Hijri calendar.
 _ANCHOR_YEAR, _ANCHOR_DATE = 1404, "2025-03-21"
 
@@ -105,12 +108,15 @@ def parse_dates(col: Column, data_type: T.DataType | None = None,
 
 def date_in_tidy(col: Column, strict_days: bool = False) -> Column:
     """:func:`parse_dates` for text that is already tidy."""
-    return let(col, lambda text: (
-        F.when(text.rlike(_JALALI), _jalali(text, strict_days))
-        .when(text.rlike(_YEAR_FIRST), _iso(text, [(_YEAR_FIRST, "$1-$2-$3")]))
-        .when(text.rlike(_OTHER_FORM), _iso(text, _TO_ISO))
-        .when(text.rlike(_NAMED), _iso(text, _named_month_steps()))
-    ))
+    def value(text: Column) -> Column:
+        return (F.when(text.rlike(_JALALI), _jalali(text, strict_days))
+                .when(text.rlike(_YEAR_FIRST), _iso(text, [(_YEAR_FIRST, "$1-$2-$3")]))
+                .when(text.rlike(_OTHER_FORM), _iso(text, _TO_ISO))
+                .when(text.rlike(_NAMED), _iso(text, _named_month_steps())))
+
+    # No form is longer than this, and each starts with a digit or a month.
+    return let(col, lambda text: F.when(
+        (F.length(text) <= _LONGEST) & text.rlike(_START), value(text)))
 
 
 def has_date_name(name: str) -> bool:

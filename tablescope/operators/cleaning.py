@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -92,19 +91,19 @@ def clean_names(names: list[str]) -> list[str]:
 
 # --- statistics -------------------------------------------------------------
 
-def _two_step(df: DataFrame, sums: dict, sketches: dict):
-    """Sums and distinct-value sketches, merged by many tasks before the last one."""
+def _two_step(df: DataFrame, conditions: dict[str, str], sketched: dict[str, str]):
+    """Rows per condition and estimated distinct values, all given as SQL.
+
+    Merged by many tasks before the last one, which would otherwise receive the
+    sketches of every task of the scan.
+    """
     merger = F.pmod(F.spark_partition_id(), F.lit(_MERGERS)).alias("merger")
     partial = df.groupBy(merger).agg(
-        *[F.sum(e).alias(n) for n, e in sums.items()],
-        *[F.hll_sketch_agg(e, 12).alias(n) for n, e in sketches.items()])
+        *[F.expr(f"count_if({c}) as {n}") for n, c in conditions.items()],
+        *[F.expr(f"hll_sketch_agg({c}, 12) as {n}") for n, c in sketched.items()])
     return partial.agg(
-        *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in sums],
-        *[F.hll_sketch_estimate(F.hll_union_agg(n)).alias(n) for n in sketches]).first()
-
-
-def _flag(condition):
-    return F.when(condition, 1).otherwise(0).cast("bigint")
+        *[F.expr(f"coalesce(sum({n}), 0) as {n}") for n in conditions],
+        *[F.expr(f"hll_sketch_estimate(hll_union_agg({n})) as {n}") for n in sketched]).first()
 
 
 def _text_stats(raw: DataFrame, positions: list[int], unicode_forms: bool, options: CleaningOptions,
@@ -131,11 +130,12 @@ def _text_stats(raw: DataFrame, positions: list[int], unicode_forms: bool, optio
         table = table.withColumn("seen", F.transform("cells", look))
     sums = dict(extra)
     for k, i in enumerate(positions):
-        seen = F.col("seen")[k]
-        sums[f"filled{i}"] = _flag(seen["new"].isNotNull())
-        for name, part in (("changed", "changed"), ("odd", "odd"), ("numbers", "number"), ("dates", "date")):
-            sums[f"{name}{i}"] = _flag(seen[part])
-    row = _two_step(table, sums, {f"labels{i}": F.col("seen")[k]["new"] for k, i in enumerate(positions)})
+        sums[f"filled{i}"] = f"seen[{k}].new is not null"
+        sums[f"changed{i}"] = f"seen[{k}].changed"
+        sums[f"odd{i}"] = f"seen[{k}].odd"
+        sums[f"numbers{i}"] = f"seen[{k}].number"
+        sums[f"dates{i}"] = f"seen[{k}].date"
+    row = _two_step(table, sums, {f"labels{i}": f"seen[{k}].new" for k, i in enumerate(positions)})
     fields = ("filled", "changed", "odd", "numbers", "dates", "labels")
     return {i: _TextStats(**{f: int(row[f"{f}{i}"] or 0) for f in fields}) for i in positions}, row
 
@@ -146,14 +146,13 @@ def _table_stats(df: DataFrame, options: CleaningOptions) -> _TableStats:
     texts = [i for i, f in enumerate(df.schema.fields) if _is_text(f.dataType)]
 
     def missing(i):
-        col = F.col(f"c{i}")
         if isinstance(df.schema.fields[i].dataType, (T.FloatType, T.DoubleType)):
-            return col.isNull() | F.isnan(col)
-        return col.isNull()
+            return f"(c{i} is null or isnan(c{i}))"
+        return f"c{i} is null"
 
-    extra = {f"present{i}": _flag(~missing(i)) for i in range(count)}
-    extra["rows"] = F.lit(1).cast("bigint")
-    extra["null_rows"] = _flag(reduce(lambda a, b: a & b, [missing(i) for i in range(count)]))
+    extra = {f"present{i}": f"not {missing(i)}" for i in range(count)}
+    extra["rows"] = "true"
+    extra["null_rows"] = " and ".join(missing(i) for i in range(count))
 
     stats = _TableStats()
     for start in range(0, max(len(texts), 1), _CHUNK):

@@ -182,7 +182,7 @@ _COPIES = "(CASE WHEN k % 20 = 0 THEN 2 ELSE 1 END)"
 
 @query("clean_audit", v.WITH_ORDERS + f"""
   , c AS (SELECT *, {_COPIES} AS n FROM sales_orders)
-  SELECT 'Order_ID ، Customer' AS column, 'rename' AS action_code, 2::BIGINT AS affected_rows
+  SELECT 'Order_ID ،  Customer' AS column, 'rename' AS action_code, 2::BIGINT AS affected_rows
   UNION ALL SELECT 'Notes', 'drop_column', 1
   UNION ALL SELECT '—', 'drop_row', count(*) FROM c WHERE k % 500 = 0
   UNION ALL SELECT 'Order_ID', 'text', sum(n)::BIGINT FROM c WHERE k % 3 = 0
@@ -310,7 +310,7 @@ for _name, _roles in _ROLES.items():
   SELECT * FROM (VALUES ('money', 'Total_Amount_USD'), ('quantity', 'Quantity'), ('date', 'Order_Date'),
     ('customer', 'Customer'), ('product', 'Product'), ('region', 'Region'), ('status', 'Status'),
     ('order', ''), ('unit', ''), ('primary_measure', 'Total_Amount_USD'),
-    ('dimensions', 'Product Customer Region Status Nation Segment')) t(meaning, column)""")
+    ('dimensions', 'Product Customer Region Status Nation Segment')) t(meaning, "column")""")
 def elected_roles(spark, sf):
     p = profiling.profile_dataset(v.sales_lines(spark, sf))
     rows = [("money", p.money_column), ("quantity", p.quantity_column), ("date", p.primary_date),
@@ -367,7 +367,7 @@ def _severity(count, total):
         UNION ALL SELECT 'toxic', count(*) - count(toxic) FROM d),
   q AS (SELECT quantile_cont(n_chars, 0.25) AS a, quantile_cont(n_chars, 0.75) AS b FROM d),
   o AS (SELECT count(*) FILTER (n_chars < a - 3 * (b - a) OR n_chars > b + 3 * (b - a)) AS affected FROM d, q)
-  SELECT column, 'missing' AS issue_code, %s AS severity, affected::BIGINT AS affected FROM m, n WHERE affected > 0
+  SELECT "column", 'missing' AS issue_code, %s AS severity, affected::BIGINT AS affected FROM m, n WHERE affected > 0
   UNION ALL SELECT 'n_chars', 'outlier', '%s', affected FROM o, n WHERE affected > 0 AND affected / rows <= 0.05"""
        % (_severity("affected", "rows"), fv.MEDIUM))
 def quality_issues(spark, sf):
@@ -690,8 +690,9 @@ def _money_sql(x):
     || format('{{:,}}', orders) || ' سفارش.' AS text FROM t
   UNION ALL SELECT 'last_month', CASE WHEN growth >= 0 THEN 'positive' ELSE 'warning' END,
     'فروش در ' || name || ' نسبت به ماه قبل ' || format('{{:,.1f}}', abs(growth)) || '٪ '
-    || CASE WHEN growth >= 0 THEN 'رشد' ELSE 'افت' END || ' داشته است. ماه جاری هنوز کامل نشده و در این مقایسه لحاظ نشده است.'
-    FROM g, l
+    || CASE WHEN growth >= 0 THEN 'رشد' ELSE 'افت' END || ' داشته است.'
+    || CASE WHEN (SELECT count(*) FROM m) < (SELECT count(*) FROM ({_MONTHLY}))
+            THEN ' ماه جاری هنوز کامل نشده و در این مقایسه لحاظ نشده است.' ELSE '' END FROM g, l
   UNION ALL SELECT 'month_range', 'info', 'بهترین ماه ' || hi.name || ' با ' || {_money_sql('hi.total')}
     || ' و ضعیف‌ترین ماه ' || lo.name || ' با ' || {_money_sql('lo.total')} || ' بوده است.' FROM hi, lo
   UNION ALL SELECT 'share_best_customer', 'info', 'مشتری «' || c.name || '» با ' || {_money_sql('c.total')}

@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 from tablescope import fixed_values as fv
 from tablescope.functions.dates import jalali_year_start
 from tablescope.plans import CleaningOptions, Profile
-from tablescope.session import configure
-from tablescope.sources import spread
+from tablescope.session import configure, materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,22 +21,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _orders(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     def t(name):
         return table(spark, sf_dir, name)
     regions = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     customers = t("customer").join(regions, F.col("c_nationkey") == F.col("n_nationkey"))
-    orders = t("orders") if orders is None else orders
-    return orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    return t("orders").join(customers, F.col("o_custkey") == F.col("c_custkey"))
 
 
 def sales_orders(spark: SparkSession, sf_dir: str, with_key: bool = False) -> DataFrame:
     status = (F.when(F.col("o_orderstatus") == "P", "cancelled")
               .when(F.col("o_orderstatus") == "O", "pending").otherwise("completed"))
     key = [F.col("o_orderkey").alias("k")] if with_key else []
-    # Parsing is heavy: where the scan is a single split, all cores share it.
-    orders = spread(table(spark, sf_dir, "orders")) if with_key else None
-    return _orders(spark, sf_dir, orders).select(
+    return _orders(spark, sf_dir).select(
         *key, F.concat(F.lit("ORD-"), F.col("o_orderkey").cast("string")).alias("Order_ID"),
         F.col("o_orderdate").alias("Order_Date"), F.col("c_name").alias("Customer"),
         F.col("r_name").alias("Region"), F.col("c_mktsegment").alias("Segment"),
@@ -144,7 +140,20 @@ def money_text(k: Column, amount: Column) -> Column:
             .otherwise(F.concat(F.lit("  "), grouped, F.lit(" €"))))
 
 
+_WRITTEN: dict[tuple[str, str], DataFrame] = {}
+
+
 def dirty_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The untidy table as a file, the way a raw export arrives; written once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _WRITTEN:
+        # At least one file per core; a cluster's export has many more.
+        rows = _untidy(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)
+        _WRITTEN[key] = materialize(rows, "untidy")
+    return _WRITTEN[key]
+
+
+def _untidy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The orders as untidy text, every 20th twice, with empty rows and an empty column."""
     tidy = sales_orders(spark, sf_dir, with_key=True)
     k = F.col("k")
