@@ -14,6 +14,7 @@ from tablescope.operators.distinct import long_form, quoted
 from tablescope.operators.profiling import measure, profile_dataset
 from tablescope.operators.quantiles import exact_quantiles
 from tablescope.plans.profile import Profile
+from tablescope.session import materialize
 
 KPI_SCHEMA = "kpi_key string, label string, value double, display string, description string"
 
@@ -187,9 +188,21 @@ def _months(df: DataFrame, profile: Profile, last_date: dt.date | None) -> Month
 
 # --- the report -------------------------------------------------------------
 
-def calculate_kpis(df: DataFrame, profile: Profile | None = None) -> KpiResult:
+def role_columns(df: DataFrame, profile: Profile) -> DataFrame:
+    """Only the columns that the figures, rollups and insights look at."""
+    wanted = {profile.money_column, profile.quantity_column, profile.primary_date, profile.unit_column,
+              profile.order_id_column, profile.primary_measure, payment_days_column(profile),
+              discount_column(profile), *profile.dimension_candidates()}
+    return df.select(*[quoted(c) for c in df.columns if c in wanted])
+
+
+def calculate_kpis(df: DataFrame, profile: Profile | None = None, store: bool = False) -> KpiResult:
     """All figures the data can support. Scalars and months come to the driver,
-    whole tables (``best_*_table``) stay lazy in the context."""
+    whole tables (``best_*_table``) stay lazy in the context.
+
+    The figures take several passes. Where ``df`` is costly to compute, such as
+    a join, ``store`` first writes its role columns to the shared folder.
+    """
     result = KpiResult()
     if not isinstance(df, DataFrame) or not df.columns:
         return result
@@ -197,6 +210,8 @@ def calculate_kpis(df: DataFrame, profile: Profile | None = None) -> KpiResult:
         if df.isEmpty():
             return result
         profile = profile_dataset(df)
+    if store:
+        df = materialize(role_columns(df, profile), "roles")
     t = totals(df, profile).first().asDict()
     rows, excluded = t["total_rows"], t["excluded_rows"]
     if not rows:
@@ -204,7 +219,7 @@ def calculate_kpis(df: DataFrame, profile: Profile | None = None) -> KpiResult:
     money_column = profile.money_column
     statuses = fv.LIST_COMMA.join(profile.negative_statuses)
     result.context.update(
-        profile=profile, totals=t, excluded_rows=excluded, negative_statuses=profile.negative_statuses,
+        profile=profile, data=df, totals=t, excluded_rows=excluded, negative_statuses=profile.negative_statuses,
         active_rows=df.filter(profile.is_active()))
 
     def add(key, value, display, template=None, **values):

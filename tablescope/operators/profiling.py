@@ -84,17 +84,23 @@ def column_statistics(df: DataFrame) -> dict[str, dict]:
     } for i, n in enumerate(names)}
 
 
-def _status_values(df: DataFrame, column: str, words):
-    """(normalised spellings, spellings as they occur), the latter None if too many."""
-    status = quoted(column).cast("string")
-    found = (
-        df.select(status.alias("raw")).filter("raw is not null").groupBy("raw").agg(F.lit(1).alias("one"))
-        .select("raw", normalize_text(F.col("raw")).alias("normal"))
-        .filter(contains_any(F.col("normal"), words))
-    )
-    rows = found.limit(STATUS_CAP + 1).collect()
-    normal = sorted({r.normal for r in rows})
-    return (normal, None) if len(rows) > STATUS_CAP else (normal, sorted(r.raw for r in rows))
+def _set_statuses(df: DataFrame, profile: Profile) -> None:
+    """List the cancelled and pending status values, in both spellings."""
+    status = quoted(profile.status_column).cast("string")
+    spellings = (
+        # The maximum is the value itself; named anew, the test below stays above
+        # the grouping and sees each spelling once.
+        df.select(status.alias("raw")).filter("raw is not null").groupBy("raw").agg(F.max("raw").alias("value"))
+        .select(F.col("value").alias("raw"), normalize_text(F.col("value")).alias("normal"))
+        .withColumn("negative", contains_any(F.col("normal"), fv.NEGATIVE_STATUS_WORDS))
+        .withColumn("pending", contains_any(F.col("normal"), fv.PENDING_STATUS_WORDS))
+        .filter("negative or pending"))
+    rows = spellings.limit(STATUS_CAP + 1).collect()
+    for kind in ("negative", "pending"):
+        normal = sorted({r.normal for r in rows if r[kind]})
+        # A list cut short would be wrong: then rows are tested for the words.
+        members = None if len(rows) > STATUS_CAP else sorted(r.raw for r in rows if r[kind])
+        profile.override(None, **{f"{kind}_statuses": normal, f"{kind}_members": members})
 
 
 def profile_dataset(df: DataFrame, roles=None, **elected) -> Profile:
@@ -115,10 +121,7 @@ def profile_dataset(df: DataFrame, roles=None, **elected) -> Profile:
     profile.elect()
     profile.override(roles, **elected)
     if profile.status_column:
-        profile.negative_statuses, profile.negative_members = _status_values(
-            df, profile.status_column, fv.NEGATIVE_STATUS_WORDS)
-        profile.pending_statuses, profile.pending_members = _status_values(
-            df, profile.status_column, fv.PENDING_STATUS_WORDS)
+        _set_statuses(df, profile)
         profile.override(None, **elected)
     return profile
 

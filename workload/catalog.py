@@ -13,8 +13,8 @@ from tablescope.operators.distinct import distinct_count_frame
 from tablescope.operators.quantiles import exact_quantiles
 from tablescope.pipeline import build_analysis
 from tablescope.plans import CleaningPlan
-from tablescope.session import new_path
-from tablescope.sources import load, write_csv
+from tablescope.session import materialize, new_path
+from tablescope.sources import load, spread, write_csv
 from workload import views as v
 
 QUERIES: dict = {}
@@ -39,7 +39,7 @@ def rounded(df, *names, digits=2):
 
 @query("ascii_digits", "SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS digits FROM orders")
 def ascii_digits(spark, sf):
-    orders = v.table(spark, sf, "orders")
+    orders = spread(v.table(spark, sf, "orders"))
     written = orders.select("o_orderkey", v.persian(F.col("o_orderkey").cast("string")).alias("t"))
     return written.select("o_orderkey", text.to_ascii_digits(F.col("t")).alias("digits"))
 
@@ -47,20 +47,20 @@ def ascii_digits(spark, sf):
 @query("normalize_text_documents",
        r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM documents")
 def normalize_text_documents(spark, sf):
-    return v.table(spark, sf, "documents").select("doc_id", text.normalize_text(F.col("text")).alias("text"))
+    return spread(v.table(spark, sf, "documents")).select("doc_id", text.normalize_text(F.col("text")).alias("text"))
 
 
 @query("normalize_text_conversations",
        r"SELECT conv_id, turn, role, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM conversations")
 def normalize_text_conversations(spark, sf):
-    return v.table(spark, sf, "conversations").select(
+    return spread(v.table(spark, sf, "conversations")).select(
         "conv_id", "turn", text.normalize_text(F.col("role")).alias("role"),
         text.normalize_text(F.col("text")).alias("text"))
 
 
 @query("normalize_names", "SELECT c_custkey, c_name AS name FROM customer")
 def normalize_names(spark, sf):
-    written = v.table(spark, sf, "customer").select("c_custkey", F.concat(
+    written = spread(v.table(spark, sf, "customer")).select("c_custkey", F.concat(
         F.lit("\u200f"), v.full_width(F.col("c_name")), F.lit("\u00a0\t")).alias("t"))
     return written.select("c_custkey", text.empty_to_null(text.normalize_text(F.col("t"))).alias("name"))
 
@@ -71,20 +71,20 @@ def normalize_names(spark, sf):
   FROM orders""")
 def display_forms(spark, sf):
     price = F.col("o_totalprice")
-    return v.table(spark, sf, "orders").select(
+    return spread(v.table(spark, sf, "orders")).select(
         "o_orderkey", numbers.money_text(price).alias("money"), numbers.percent_text(price / 7).alias("percent"))
 
 
 @query("parse_money", "SELECT o_orderkey, o_totalprice AS amount FROM orders")
 def parse_money(spark, sf):
-    written = v.table(spark, sf, "orders").select(
+    written = spread(v.table(spark, sf, "orders")).select(
         "o_orderkey", v.money_text(F.col("o_orderkey"), F.col("o_totalprice")).alias("t"))
     return written.select("o_orderkey", numbers.parse_number(F.col("t")).alias("amount"))
 
 
 @query("parse_accounting", "SELECT c_custkey, -abs(c_acctbal) AS balance FROM customer")
 def parse_accounting(spark, sf):
-    written = v.table(spark, sf, "customer").select(
+    written = spread(v.table(spark, sf, "customer")).select(
         "c_custkey", F.concat(F.lit("("), F.format_number(F.abs("c_acctbal"), 2), F.lit(")")).alias("t"))
     return written.select("c_custkey", numbers.parse_number(F.col("t")).alias("balance"))
 
@@ -95,7 +95,7 @@ def parse_accounting(spark, sf):
 def parse_percent(spark, sf):
     def written(name, sign):
         return F.concat(F.round(F.col(name) * 100, 0).cast("int").cast("string"), F.lit(sign))
-    lines = v.table(spark, sf, "lineitem").select(
+    lines = spread(v.table(spark, sf, "lineitem")).select(
         "l_orderkey", "l_linenumber", "l_partkey", written("l_discount", "%").alias("d"),
         v.persian(written("l_tax", " ٪")).alias("t"))
     return lines.select("l_orderkey", "l_linenumber", "l_partkey",
@@ -127,7 +127,7 @@ def numeric_parse_ratio(spark, sf):
 
 @query("parse_dates", "SELECT o_orderkey, o_orderdate AS day FROM orders")
 def parse_dates(spark, sf):
-    written = v.table(spark, sf, "orders").select(
+    written = spread(v.table(spark, sf, "orders")).select(
         "o_orderkey", v.date_text(F.col("o_orderkey"), F.col("o_orderdate")).alias("t"))
     return written.select("o_orderkey", dates.parse_dates(F.col("t")).alias("day"))
 
@@ -137,7 +137,7 @@ def parse_dates(spark, sf):
          date_trunc('month', o_orderdate)::TIMESTAMP AS month FROM orders""")
 def parse_written_dates(spark, sf):
     day = F.col("o_orderdate")
-    written = v.table(spark, sf, "orders").select(
+    written = spread(v.table(spark, sf, "orders")).select(
         "o_orderkey", F.date_format(day, "M/d/yyyy").alias("us"), F.date_format(day, "MMMM d, yyyy").alias("named"),
         F.date_format(day, "yyyyMMdd").alias("compact"), F.date_format(day, "yyyy-MM").alias("month"))
     return written.select("o_orderkey", *[dates.parse_dates(F.col(c)).alias(c)
@@ -146,7 +146,7 @@ def parse_written_dates(spark, sf):
 
 @query("parse_timestamps", "SELECT event_id, date_trunc('second', ts) AS ts FROM events")
 def parse_timestamps(spark, sf):
-    written = v.table(spark, sf, "events").select(
+    written = spread(v.table(spark, sf, "events")).select(
         "event_id", F.when(F.col("event_id") % 2 == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
         .otherwise(F.date_format("ts", "yyyy/MM/dd'T'HH:mm:ss")).alias("t"))
     return written.select("event_id", dates.parse_dates(F.col("t")).alias("ts"))
@@ -154,7 +154,7 @@ def parse_timestamps(spark, sf):
 
 @query("jalali_dates", "SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate AS shipped FROM lineitem")
 def jalali_dates(spark, sf):
-    written = v.table(spark, sf, "lineitem").select(
+    written = spread(v.table(spark, sf, "lineitem")).select(
         "l_orderkey", "l_linenumber", "l_partkey", v.jalali_text(F.col("l_shipdate").cast("date")).alias("t"))
     return written.select("l_orderkey", "l_linenumber", "l_partkey", dates.parse_jalali(F.col("t")).alias("shipped"))
 
@@ -312,7 +312,7 @@ for _name, _roles in _ROLES.items():
     ('order', ''), ('unit', ''), ('primary_measure', 'Total_Amount_USD'),
     ('dimensions', 'Product Customer Region Status Nation Segment')) t(meaning, "column")""")
 def elected_roles(spark, sf):
-    p = profiling.profile_dataset(v.sales_lines(spark, sf))
+    p = profiling.profile_dataset(materialize(v.sales_lines(spark, sf), "lines"))
     rows = [("money", p.money_column), ("quantity", p.quantity_column), ("date", p.primary_date),
             ("customer", p.customer_column), ("product", p.product_column), ("region", p.region_column),
             ("status", p.status_column), ("order", p.order_id_column), ("unit", p.unit_column),
@@ -468,7 +468,10 @@ def kpi_totals_lines(spark, sf):
 @query("kpi_median", v.WITH_LINES + """
   SELECT round(median(Total_Amount_USD), 4) AS median_sale FROM sales_lines WHERE Status <> 'returned'""")
 def kpi_median(spark, sf):
-    middle = kpis.median(v.sales_lines(spark, sf), v.lines_profile())
+    p = v.lines_profile()
+    # Several passes over two columns of a join.
+    amounts = materialize(v.sales_lines(spark, sf).select(p.money_column, p.status_column), "amounts")
+    middle = kpis.median(amounts, p)
     return spark.createDataFrame([(round(middle, 4),)], "median_sale double")
 
 
@@ -536,13 +539,13 @@ def _report_sql(with_sql, values):
 
 @query("kpi_report", _report_sql(v.WITH_ORDERS, _KPI_VALUES))
 def kpi_report(spark, sf):
-    found = kpis.calculate_kpis(v.sales_orders(spark, sf), v.orders_profile())
+    found = kpis.calculate_kpis(v.sales_orders(spark, sf), v.orders_profile(), store=True)
     return rounded(found.frame(spark).select("kpi_key", "value"), "value")
 
 
 @query("kpi_report_lines")
 def kpi_report_lines(spark, sf):
-    return kpis.calculate_kpis(v.sales_lines(spark, sf), v.lines_profile()).frame(spark)
+    return kpis.calculate_kpis(v.sales_lines(spark, sf), v.lines_profile(), store=True).frame(spark)
 
 
 @query("kpi_fallback", """
@@ -562,7 +565,7 @@ def kpi_fallback(spark, sf):
 def kpi_of_slice(spark, sf):
     some = slicing.filter_numbers(slicing.filter_categories(
         v.sales_orders(spark, sf), {"Region": ["ASIA", "EUROPE"]}), {"Total_Amount_USD": (10000, 400000)})
-    found = kpis.calculate_kpis(some, v.orders_profile())
+    found = kpis.calculate_kpis(some, v.orders_profile(), store=True)
     return rounded(found.frame(spark).select("kpi_key", "value"), "value")
 
 
@@ -661,7 +664,9 @@ def hist_price(spark, sf):
 @query("chart_selection", """
   SELECT * FROM (VALUES ('trend'), ('top_Product'), ('top_Customer'), ('share_Region'), ('status'), ('distribution')) t(key)""")
 def chart_selection(spark, sf):
-    found = rollups.create_charts(v.sales_lines(spark, sf), v.lines_profile())
+    p = v.lines_profile()
+    lines = materialize(kpis.role_columns(v.sales_lines(spark, sf), p), "roles")
+    found = rollups.create_charts(lines, p)
     return spark.createDataFrame([(r.key,) for r in found], "key string")
 
 
@@ -705,13 +710,15 @@ def _money_sql(x):
   UNION ALL SELECT 'basis', 'info', 'این تحلیل بر پایه ' || format('{{:,}}', n)
     || ' رکورد پس از پاک‌سازی و فیلترهای فعال است.' FROM t""")
 def insights_orders(spark, sf):
-    found = insights.generate_insights(v.sales_orders(spark, sf), profile=v.orders_profile())
+    figures = kpis.calculate_kpis(v.sales_orders(spark, sf), v.orders_profile(), store=True)
+    found = insights.generate_insights(None, figures)
     return insights.insights_frame(spark, found).select("rule_id", "level", "text")
 
 
 @query("insights_lines")
 def insights_lines(spark, sf):
-    found = insights.generate_insights(v.sales_lines(spark, sf), profile=v.lines_profile())
+    figures = kpis.calculate_kpis(v.sales_lines(spark, sf), v.lines_profile(), store=True)
+    found = insights.generate_insights(None, figures)
     return insights.insights_frame(spark, found)
 
 
