@@ -336,9 +336,8 @@ def clean_dataset(df: DataFrame, options: CleaningOptions | None = None,
         hashed = dedupe.with_row_hash(data)
         if store:
             hashed = materialize(hashed, "typed")
-        removed = dedupe.count_duplicates(hashed)
+        hashed, removed = dedupe.remove_duplicates(hashed)
         if removed:
-            hashed = dedupe.drop_duplicates(hashed)
             if store:
                 hashed = materialize(hashed, "clean")
             actions.append(CleaningAction(fv.NO_COLUMN, "drop_duplicate",

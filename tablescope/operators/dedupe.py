@@ -48,24 +48,29 @@ def _split(hashed: DataFrame) -> tuple[DataFrame | None, DataFrame | None, int]:
     return unique.select(hashed.columns), others.select(hashed.columns).dropDuplicates(), found["rows"]
 
 
-def drop_duplicates(df: DataFrame) -> DataFrame:
-    """``df`` without exact copies of a row; NULL equals NULL."""
-    hashed = df if ROW_HASH in df.columns else with_row_hash(df)
+def remove_duplicates(df: DataFrame, count: bool = True) -> tuple[DataFrame, int]:
+    """``df`` without exact copies of a row (NULL equals NULL), and how many went.
+
+    The number is only worked out with ``count``, else it is -1.
+    """
+    given = ROW_HASH in df.columns
+    hashed = df if given else with_row_hash(df)
     unique, others, rows = _split(hashed)
     if not rows:
-        return df
+        return df, 0
     if others is None:
-        return df.dropDuplicates()
+        kept = df.dropDuplicates()
+        return kept, df.count() - kept.count() if count else -1
+    if count:
+        others = materialize(others, "repeated-rows")
     kept = unique.unionAll(others)
-    return kept if ROW_HASH in df.columns else kept.drop(ROW_HASH)
+    return kept if given else kept.drop(ROW_HASH), rows - others.count() if count else -1
+
+
+def drop_duplicates(df: DataFrame) -> DataFrame:
+    return remove_duplicates(df, count=False)[0]
 
 
 def count_duplicates(df: DataFrame) -> int:
     """Number of rows that :func:`drop_duplicates` would remove."""
-    hashed = df if ROW_HASH in df.columns else with_row_hash(df)
-    _, others, rows = _split(hashed)
-    if not rows:
-        return 0
-    if others is None:
-        return df.count() - df.dropDuplicates().count()
-    return rows - others.count()
+    return remove_duplicates(df)[1]

@@ -133,22 +133,22 @@ def group_summary(groups: DataFrame) -> DataFrame:
 
 def best_table(df: DataFrame, profile: Profile, dimension: str) -> DataFrame:
     """Net amount per key of ``dimension``: ``key, total``."""
-    value = F.when(profile.is_active(), measure(df, profile.money_column))
-    return (df.select(quoted(dimension).alias("key"), value.alias("v"))
+    value = measure(df, profile.money_column)
+    return (df.filter(profile.is_active()).select(quoted(dimension).alias("key"), value.alias("v"))
             .filter("key is not null and v is not null").groupBy("key").agg(F.sum("v").alias("total")))
 
 
 def monthly_sales(df: DataFrame, profile: Profile) -> DataFrame:
     """``month, total`` of active rows; months without sales are absent."""
     month = F.trunc(quoted(profile.primary_date), "month")
-    value = F.when(profile.is_active(), measure(df, profile.money_column))
-    return (df.select(month.alias("month"), value.alias("v"))
+    value = measure(df, profile.money_column)
+    return (df.filter(profile.is_active()).select(month.alias("month"), value.alias("v"))
             .filter("month is not null and v is not null").groupBy("month").agg(F.sum("v").alias("total")))
 
 
 def median(df: DataFrame, profile: Profile) -> float | None:
-    net = F.when(profile.is_active(), measure(df, profile.money_column))
-    return exact_quantiles(df, {"m": net}, {"m": [0.5]})["m"][0]
+    net = measure(df, profile.money_column)
+    return exact_quantiles(df.filter(profile.is_active()), {"m": net}, {"m": [0.5]})["m"][0]
 
 
 # --- months -----------------------------------------------------------------

@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablescope import fixed_values as fv
@@ -44,8 +43,9 @@ def choose_grain(days: int) -> str:
 
 
 def _dated(df: DataFrame, profile: Profile, measure: str) -> DataFrame:
-    return (df.select(quoted(profile.primary_date).cast("timestamp").alias("date"),
-                      _active_values(df, profile, measure).alias("value"))
+    return (df.filter(profile.is_active())
+            .select(quoted(profile.primary_date).cast("timestamp").alias("date"),
+                    as_double(df, measure).alias("value"))
             .filter("date is not null and value is not null"))
 
 
@@ -71,7 +71,8 @@ def trend(df: DataFrame, profile: Profile, measure: str | None = None,
 
 
 def _grouped(df: DataFrame, profile: Profile, dimension: str, measure: str) -> DataFrame:
-    return (df.select(quoted(dimension).alias("key"), _active_values(df, profile, measure).alias("v"))
+    return (df.filter(profile.is_active())
+            .select(quoted(dimension).alias("key"), as_double(df, measure).alias("v"))
             .filter("key is not null and v is not null").groupBy("key").agg(F.sum("v").alias("value")))
 
 
@@ -87,17 +88,14 @@ def share(df: DataFrame, profile: Profile, dimension: str, measure: str | None =
     """``key, value, share_pct`` of positive totals; beyond ``slices`` keys the
     smaller ones are summed up as others."""
     positive = _grouped(df, profile, dimension, measure or profile.primary_measure).filter("value > 0")
-    shape = positive.agg(F.sum("value").alias("all"), F.count("*").alias("keys"))
-    leaders = (positive.orderBy(F.desc("value"), "key").limit(slices)
-               .withColumn("rank", F.row_number().over(W.orderBy(F.desc("value"), "key")))
-               .crossJoin(F.broadcast(shape))  # at most `slices` rows by one
-               .withColumn("named", (F.col("keys") <= slices) | (F.col("rank") < slices)))
-    named = leaders.filter("named").select(F.col("key").cast("string").alias("key"), "value", "all")
-    rest = (leaders.groupBy("all", "keys")
-            .agg(F.sum(F.when(F.col("named"), F.col("value"))).alias("shown"))
-            .filter(F.col("keys") > slices)
-            .select(F.lit(fv.OTHERS).alias("key"), (F.col("all") - F.col("shown")).alias("value"), "all"))
-    return named.unionByName(rest).select("key", "value", (F.col("value") / F.col("all") * 100).alias("share_pct"))
+    shape = positive.agg(F.sum("value").alias("total"), F.count("*").alias("keys")).first()
+    few = shape["keys"] <= slices
+    largest = positive.orderBy(F.desc("value"), "key").limit(slices if few else slices - 1)
+    named = largest.select(F.col("key").cast("string").alias("key"), "value")
+    if not few:
+        shown = named.agg((F.lit(shape["total"]) - F.sum("value")).alias("value"))
+        named = named.unionByName(shown.select(F.lit(fv.OTHERS).alias("key"), "value"))
+    return named.withColumn("share_pct", F.col("value") / F.lit(shape["total"]) * 100)
 
 
 def status_counts(df: DataFrame, profile: Profile) -> DataFrame:
@@ -109,14 +107,13 @@ def status_counts(df: DataFrame, profile: Profile) -> DataFrame:
 def distribution(df: DataFrame, profile: Profile, measure: str | None = None,
                  bins: int = fv.HISTOGRAM_BINS) -> DataFrame:
     """``bin, low, high, rows``: a histogram with ``bins`` equal parts, empty ones included."""
-    value = _active_values(df, profile, measure or profile.primary_measure)
-    values = df.select(value.alias("v")).filter("v is not null")
-    ends = values.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    value = as_double(df, measure or profile.primary_measure)
+    values = df.filter(profile.is_active()).select(value.alias("v")).filter("v is not null")
+    ends = values.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("v").alias("n")).first()
     spark = df.sparkSession
     if ends.lo is None or ends.lo == ends.hi:
-        rows = [] if ends.lo is None else [(1, ends.lo, ends.hi)]
-        only = spark.createDataFrame(rows, "bin int, low double, high double")
-        return only.crossJoin(values.agg(F.count("*").alias("rows")))
+        rows = [] if ends.lo is None else [(1, ends.lo, ends.hi, ends.n)]
+        return spark.createDataFrame(rows, "bin int, low double, high double, rows bigint")
     width = (ends.hi - ends.lo) / bins
     # The largest value belongs to the last bin.
     place = F.least(F.width_bucket("v", F.lit(ends.lo), F.lit(ends.hi), F.lit(bins)), F.lit(bins)).cast("int")
@@ -177,7 +174,7 @@ def create_charts(df: DataFrame, profile: Profile | None = None) -> list[Rollup]
     chosen = next((d for d in near if 1 < counts[d] <= fv.SHARE_MAX_GROUPS), None)
     if chosen:
         positive = _grouped(df, profile, chosen, measure).filter("value > 0")
-        if positive.count() >= 2:
+        if positive.count() >= 2:  # at most SHARE_MAX_GROUPS rows
             add("share", f"share_{chosen}", share(df, profile, chosen, measure), dimension=chosen)
     if profile.status_column and seen["statuses"]:
         add("status", "status", status_counts(df, profile), dimension=profile.status_column)

@@ -35,8 +35,10 @@ def filter_numbers(df: DataFrame, ranges: Mapping[str, tuple[float, float]]) ->
 def filter_dates(df: DataFrame, ranges: Mapping[str, tuple]) -> DataFrame:
     """Keep rows from the first day to the last, both whole days; NULL is outside."""
     for name, (first, last) in ranges.items():
-        after = F.date_add(F.lit(str(last)).cast("date"), 1).cast("timestamp")
-        df = df.filter((quoted(name) >= F.lit(str(first)).cast("timestamp")) & (quoted(name) < after))
+        # Bounds of the column's own type, so that the comparison reaches the scan.
+        kind = df.schema[name].dataType
+        after = F.date_add(F.lit(str(last)).cast("date"), 1).cast(kind)
+        df = df.filter((quoted(name) >= F.lit(str(first)).cast("date").cast(kind)) & (quoted(name) < after))
     return df
 
 
