@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from tablescope import fixed_values as fv
 from tablescope.functions.numbers import to_double
-from tablescope.functions.text import contains_any, has_hint, normalize_text
+from tablescope.functions.text import contains_any, has_hint, needs_nfkc, normalize_text
 from tablescope.operators.distinct import distinct_counts, quoted
 from tablescope.plans.profile import ColumnProfile, Profile
 
@@ -87,15 +87,23 @@ def column_statistics(df: DataFrame) -> dict[str, dict]:
 def _set_statuses(df: DataFrame, profile: Profile) -> None:
     """List the cancelled and pending status values, in both spellings."""
     status = quoted(profile.status_column).cast("string")
-    spellings = (
-        # The maximum is the value itself; named anew, the test below stays above
-        # the grouping and sees each spelling once.
-        df.select(status.alias("raw")).filter("raw is not null").groupBy("raw").agg(F.max("raw").alias("value"))
-        .select(F.col("value").alias("raw"), normalize_text(F.col("value")).alias("normal"))
-        .withColumn("negative", contains_any(F.col("normal"), fv.NEGATIVE_STATUS_WORDS))
-        .withColumn("pending", contains_any(F.col("normal"), fv.PENDING_STATUS_WORDS))
-        .filter("negative or pending"))
-    rows = spellings.limit(STATUS_CAP + 1).collect()
+    # The maximum is the value itself; named anew, the tests below stay above the
+    # grouping and see each spelling once.
+    values = (df.select(status.alias("raw")).filter("raw is not null")
+              .groupBy("raw").agg(F.max("raw").alias("value")))
+
+    def spellings(unicode_forms: bool):
+        normal = normalize_text(F.col("value"), unicode_forms)
+        return (
+            values.select(F.col("value").alias("raw"), normal.alias("normal"), needs_nfkc(F.col("value")).alias("odd"))
+            .withColumn("negative", contains_any(F.col("normal"), fv.NEGATIVE_STATUS_WORDS))
+            .withColumn("pending", contains_any(F.col("normal"), fv.PENDING_STATUS_WORDS))
+            .filter(F.col("negative") | F.col("pending") | (F.lit(not unicode_forms) & F.col("odd")))
+            .limit(STATUS_CAP + 1).collect())
+
+    rows = spellings(False)
+    if any(r.odd for r in rows) or len(rows) > STATUS_CAP:
+        rows = spellings(True)
     for kind in ("negative", "pending"):
         normal = sorted({r.normal for r in rows if r[kind]})
         # A list cut short would be wrong: then rows are tested for the words.
