@@ -45,7 +45,8 @@ def _split(hashed: DataFrame) -> tuple[DataFrame | None, DataFrame | None, int]:
     some = F.broadcast(repeated.select(ROW_HASH))
     unique = hashed.join(some, ROW_HASH, "left_anti")
     others = hashed.join(some, ROW_HASH, "left_semi")
-    return unique.select(hashed.columns), others.select(hashed.columns).dropDuplicates(), found["rows"]
+    columns = [quoted(c) for c in hashed.columns]
+    return unique.select(*columns), others.select(*columns).dropDuplicates(), found["rows"]
 
 
 def remove_duplicates(df: DataFrame, count: bool = True) -> tuple[DataFrame, int]:

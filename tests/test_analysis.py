@@ -240,3 +240,14 @@ def test_plan_cleans_a_stream(spark, messy_sales, bundle, tmp_path):
     got = spark.table("cleaned_rows")
     assert got.count() == 5
     assert got.schema.simpleString() == bundle.data.schema.simpleString()
+
+
+def test_names_with_dots_and_signs(spark):
+    rows = [(f"c{i % 3}", f"{i % 4},000.50 USD", f"2026-0{i % 9 + 1}-01") for i in range(30)] + [("c0", "0,000.50 USD", "2026-01-01")]
+    raw = spark.createDataFrame(rows, "`customer.name` string, `total (usd), net` string, `order date` string")
+    bundle = build_analysis(raw)
+    assert bundle.profile.money_column == "total (usd), net" and bundle.cleaning.duplicate_rows_removed == 1
+    figures = kpis.calculate_kpis(bundle.data, bundle.profile, store=True)
+    assert figures.get("unique_customers").value == 3 and figures.get("best_customer") is not None
+    assert {"trend", "distribution"} - {r.key for r in rollups.create_charts(bundle.data, bundle.profile)} <= {"distribution"}
+    assert insights.generate_insights(None, figures)[-1].rule_id == "basis"
