@@ -155,7 +155,8 @@ def grow(x: np.ndarray, bad: np.ndarray | None = None, trees: int = TREES, seed:
     rng = np.random.default_rng(seed)
     bad = np.zeros(len(x), bool) if bad is None else bad
     typical = x[~bad] if not bad.all() else x
-    low, high = np.quantile(typical, TAIL, axis=0), np.quantile(typical, 1 - TAIL, axis=0)
+    low = np.quantile(typical, TAIL, axis=0, method="lower")
+    high = np.quantile(typical, 1 - TAIL, axis=0, method="higher")
     x = beyond(x, low, high)
     kinds = [(np.flatnonzero(~bad), TREE_ROWS), (np.flatnonzero(bad), TREE_BAD_ROWS)]
     limit = int(np.ceil(np.log2(TREE_ROWS)))
