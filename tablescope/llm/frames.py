@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablescope.session import materialize as written
-from tablescope.session import new_path
+from tablescope.session import materialize
 
-__all__ = ["free_name", "new_path", "part_count", "quoted", "text_or_empty", "written"]
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read back.
+
+    Nothing then depends on the shuffle files of the job that made it; the driver
+    forgets them at its next garbage collection, which is asked for here, so that the
+    executors' disks hold one step's shuffles at a time and not all of them.
+    """
+    table = materialize(df, name)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return table
 
 
 def quoted(name: str) -> Column:
@@ -26,9 +35,3 @@ def free_name(df: DataFrame, wish: str) -> str:
     while wish.lower() in taken:
         wish = "_" + wish
     return wish
-
-
-def part_count(df: DataFrame, rows: int, rows_per_part: int) -> int:
-    """Partitions for ``rows`` rows: as many as the session asks for, more if they would be large."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, -(-rows // rows_per_part))

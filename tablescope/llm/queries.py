@@ -4,15 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablescope.llm import bytespans, decontaminate, neardup, quality, wordspans
+from tablescope.llm import bytespans, decontaminate, idfile, neardup, packing, quality, wordspans
+from tablescope.session import new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idfile.id_report(
+        _table(spark, sf_dir, "documents"), new_path(spark, "ids"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_report(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytespans.span_report(_table(spark, sf_dir, "documents"))
 
@@ -35,6 +46,8 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_id_output": op1_token_id_output,
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
