@@ -21,6 +21,10 @@ CURRENCY_SIGNS = "$€£¥﷼"
 # What NFKC turns the rial sign into.
 RIAL_WORD = "ریال"
 PERCENT_SIGNS = "%٪"
+GROUP_SIGNS = "٬،"
+
+# --- Fixed values: form of a Jalali date
+JALALI_DATE = r"^(1[2-5]\d{2})[/\-.](\d{1,2})[/\-.](\d{1,2})$"
 
 # --- Fixed values: missing-value spellings on CSV read ------------------------
 NA_TOKENS = (
@@ -48,7 +52,6 @@ SHARE_SLICES = 8
 SHARE_MAX_GROUPS = 12
 HISTOGRAM_BINS = 40
 FILTER_OPTIONS = 50
-PAGE_SIZES = (25, 50, 100, 250, 500)
 
 # --- Fixed values: column-name hints -------------------------------------------
 DATE_NAME_HINTS = ("date", "تاریخ", "زمان", "time")
@@ -95,10 +98,9 @@ COLUMN_TYPOS = {"Province": {"اصفهانن": "اصفهان", "اصفهان ":
 # --- Fixed values: report wording --------------------------------------------------
 NO_COLUMN = "—"
 LIST_COMMA = "، "
+# Elected columns in the order in which rows are grouped by them.
+DIMENSIONS = ("product", "customer", "region", "status")
 OTHERS = "سایر"
-AUDIT_HEADINGS = {
-    "column": "ستون", "action": "اقدام", "detail": "توضیح", "affected_rows": "تعداد",
-}
 ROLE_LABELS = {
     "date": "تاریخ", "measure": "عددی", "percent": "درصد",
     "category": "دسته‌بندی", "identifier": "شناسه", "text": "متن",

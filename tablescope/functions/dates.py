@@ -10,8 +10,6 @@ from tablescope import fixed_values as fv
 from tablescope.functions.numbers import tidy
 from tablescope.functions.text import let
 
-_JALALI = r"^(1[2-5]\d\d)[/\-.](\d{1,2})[/\-.](\d{1,2})$"
-
 _TIME = r"(?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?(?: ?(?:Z|UTC|[+-]\d{2}:?\d{2}))?)?"
 # Years a nanosecond timestamp can hold, 1678 to 2261; other years are rejected.
 _YEAR = r"(?:167[89]|16[89]\d|1[7-9]\d\d|2[01]\d\d|22[0-5]\d|226[01])"
@@ -76,7 +74,7 @@ def _jalali(text: Column, strict_days: bool) -> Column:
 
 def parse_jalali(col: Column, strict_days: bool = False) -> Column:
     """``1405/02/31`` and the like as a Gregorian timestamp, NULL otherwise."""
-    return let(tidy(col), lambda text: F.when(text.rlike(_JALALI), _jalali(text, strict_days)))
+    return let(tidy(col), lambda text: F.when(text.rlike(fv.JALALI_DATE), _jalali(text, strict_days)))
 
 
 def _iso(text: Column, steps) -> Column:
@@ -109,7 +107,7 @@ def parse_dates(col: Column, data_type: T.DataType | None = None,
 def date_in_tidy(col: Column, strict_days: bool = False) -> Column:
     """:func:`parse_dates` for text that is already tidy."""
     def value(text: Column) -> Column:
-        return (F.when(text.rlike(_JALALI), _jalali(text, strict_days))
+        return (F.when(text.rlike(fv.JALALI_DATE), _jalali(text, strict_days))
                 .when(text.rlike(_YEAR_FIRST), _iso(text, [(_YEAR_FIRST, "$1-$2-$3")]))
                 .when(text.rlike(_OTHER_FORM), _iso(text, _TO_ISO))
                 .when(text.rlike(_NAMED), _iso(text, _named_month_steps())))

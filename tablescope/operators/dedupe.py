@@ -15,13 +15,25 @@ from tablescope.operators.distinct import quoted
 from tablescope.session import materialize
 
 ROW_HASH = "__row_hash"
-# Hashes of repeated rows that may be broadcast: 8 bytes each, counted first.
-BROADCAST_KEYS = 1_000_000
+
+
+def _comparable(field: T.StructField) -> Column:
+    """The column, and for maps, which have no equality, their sorted entries."""
+    column = quoted(field.name)
+    return F.array_sort(F.map_entries(column)) if isinstance(field.dataType, T.MapType) else column
 
 
 def _hash(df: DataFrame) -> Column:
-    hashable = [quoted(f.name) for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
-    return F.xxhash64(*hashable)
+    return F.xxhash64(*[_comparable(f) for f in df.schema.fields])
+
+
+def _distinct(df: DataFrame) -> DataFrame:
+    """One row of each form; maps are compared by their entries."""
+    maps = {f"__entries_{i}": _comparable(f) for i, f in enumerate(df.schema.fields) if isinstance(f.dataType, T.MapType)}
+    if not maps:
+        return df.dropDuplicates()
+    others = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    return df.withColumns(maps).dropDuplicates([*others, *maps]).drop(*maps)
 
 
 def with_row_hash(df: DataFrame) -> DataFrame:
@@ -31,8 +43,8 @@ def with_row_hash(df: DataFrame) -> DataFrame:
 def _split(hashed: DataFrame) -> tuple[DataFrame | None, DataFrame | None, int]:
     """(rows that are unique, distinct forms of the others, number of the others).
 
-    The first two are None when nothing repeats, the second also when there are
-    too many repeated rows to tell them apart by a broadcast.
+    The first two are None when nothing repeats. Both come from joins on the
+    eight-byte hash, which Spark turns into broadcasts where the repeated hashes are few.
     """
     # Written out, since three jobs ask for it.
     repeated = materialize(
@@ -40,13 +52,11 @@ def _split(hashed: DataFrame) -> tuple[DataFrame | None, DataFrame | None, int]:
     found = repeated.agg(F.count("*").alias("keys"), F.sum("n").alias("rows")).first()
     if not found["keys"]:
         return None, None, 0
-    if found["keys"] > BROADCAST_KEYS:
-        return hashed, None, found["rows"]
-    some = F.broadcast(repeated.select(ROW_HASH))
+    some = repeated.select(ROW_HASH)
     unique = hashed.join(some, ROW_HASH, "left_anti")
     others = hashed.join(some, ROW_HASH, "left_semi")
     columns = [quoted(c) for c in hashed.columns]
-    return unique.select(*columns), others.select(*columns).dropDuplicates(), found["rows"]
+    return unique.select(*columns), _distinct(others.select(*columns)), found["rows"]
 
 
 def remove_duplicates(df: DataFrame, count: bool = True) -> tuple[DataFrame, int]:
@@ -59,9 +69,6 @@ def remove_duplicates(df: DataFrame, count: bool = True) -> tuple[DataFrame, int
     unique, others, rows = _split(hashed)
     if not rows:
         return df, 0
-    if others is None:
-        kept = df.dropDuplicates()
-        return kept, df.count() - kept.count() if count else -1
     if count:
         others = materialize(others, "repeated-rows")
     kept = unique.unionAll(others)

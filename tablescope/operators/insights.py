@@ -5,11 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tablescope import fixed_values as fv
-from tablescope.functions.numbers import money
-from tablescope.operators.kpis import KpiResult, Months, calculate_kpis, month_name
-from tablescope.operators.profiling import profile_dataset
+from tablescope.functions.numbers import dollars
+from tablescope.operators.kpis import KpiResult, Months, calculate_kpis, group_summary, group_totals, month_name
+from tablescope.operators.profiling import measure, profile_dataset
 from tablescope.plans.profile import Profile
 
 INSIGHT_SCHEMA = "position int, rule_id string, level string, text string, evidence string"
@@ -45,12 +46,12 @@ def _month_insights(months: Months | None):
                  direction=_say("month_up" if up else "month_down"),
                  note=_say("month_note") if months.partial else ""),
             "positive" if up else "warning",
-            _say("month_evidence", previous=money(previous), last=money(last)))
+            _say("month_evidence", previous=dollars(previous), last=dollars(last)))
     best = max(sales, key=lambda s: s[1])  # the first of equals
     worst = min(sales, key=lambda s: s[1])
     yield Insight("month_range", _say(
-        "month_range", best=month_name(best[0]), best_value=money(best[1]),
-        worst=month_name(worst[0]), worst_value=money(worst[1])))
+        "month_range", best=month_name(best[0]), best_value=dollars(best[1]),
+        worst=month_name(worst[0]), worst_value=dollars(worst[1])))
 
 
 def _concentration(result: KpiResult):
@@ -59,12 +60,23 @@ def _concentration(result: KpiResult):
         if kpi is None or share is None:
             continue
         risky = share >= fv.CONCENTRATION_SHARE
-        text = _say("share", label=_say(label), name=kpi.display, money=money(kpi.value), share=share)
+        text = _say("share", label=_say(label), name=kpi.display, money=dollars(kpi.value), share=share)
         yield Insight(f"share_{key}", text + (_say("share_risk") if risky else ""),
                       "warning" if risky else "info")
 
 
-def _risks(result: KpiResult):
+def _regions(result: KpiResult, profile: Profile):
+    """Best and worst region of the active rows, of all rows if there are no active ones."""
+    t = result.context["totals"]
+    if not profile.region_column or t["excluded_rows"] < t["total_rows"]:
+        return result.context["groups"].get("region")
+    df = result.context["data"]
+    value = measure(df, profile.money_column)
+    found = group_summary(group_totals(df, {"region": profile.region_column}, value, F.lit(True))).collect()
+    return found[0] if found else None
+
+
+def _risks(result: KpiResult, profile: Profile):
     t = result.context["totals"]
     cancelled, lost = result.get("cancellation_rate"), result.get("cancelled_value")
     if cancelled:
@@ -77,7 +89,6 @@ def _risks(result: KpiResult):
         if t.get("payment_days") is not None:
             text += _say("pending_days", days=t["payment_days"])
         yield Insight("pending", text, "warning")
-    profile: Profile = result.context["profile"]
     if not profile.money_column:
         return
     discount = t.get("average_discount")
@@ -88,14 +99,14 @@ def _risks(result: KpiResult):
         yield Insight("discount", text, "warning" if discount >= fv.HIGH_DISCOUNT / 2 else "info")
     mean, largest = t["gross_average"], t["gross_largest"]
     if mean is not None and mean > 0 and largest / mean >= fv.GIANT_ORDER_RATIO:
-        yield Insight("giant", _say("giant", largest=money(largest), times=largest / mean), "warning")
+        yield Insight("giant", _say("giant", largest=dollars(largest), times=largest / mean), "warning")
     if t["negative_count"]:
         yield Insight("negative", _say("negative", count=t["negative_count"]), "warning")
-    regions = result.context["groups"].get("region")
+    regions = _regions(result, profile)
     if regions and regions.sold_keys >= 2:
         yield Insight("regions", _say(
-            "regions", best=regions.best_key, best_value=money(regions.best_total),
-            worst=regions.worst_key, worst_value=money(regions.worst_total)))
+            "regions", best=regions.best_key, best_value=dollars(regions.best_total),
+            worst=regions.worst_key, worst_value=dollars(regions.worst_total)))
 
 
 def generate_insights(df: DataFrame, kpi_result: KpiResult | None = None,
@@ -118,6 +129,6 @@ def generate_insights(df: DataFrame, kpi_result: KpiResult | None = None,
         out.append(Insight("net_sales", _say("net_sales", total=sales.display, orders=suffix)))
     out.extend(_month_insights(kpi_result.context.get("months")))
     out.extend(_concentration(kpi_result))
-    out.extend(_risks(kpi_result))
+    out.extend(_risks(kpi_result, profile or kpi_result.context["profile"]))
     out.append(Insight("basis", _say("basis", rows=kpi_result.context["totals"]["total_rows"])))
     return out

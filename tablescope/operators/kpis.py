@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablescope import fixed_values as fv
-from tablescope.functions.numbers import money
+from tablescope.functions.numbers import SPACES, dollars
 from tablescope.operators.distinct import long_form, quoted
 from tablescope.operators.profiling import measure, profile_dataset
 from tablescope.operators.quantiles import exact_quantiles
@@ -121,7 +121,7 @@ def group_summary(groups: DataFrame) -> DataFrame:
     lowest = F.when(F.col("filled") > 0, F.struct(F.col("total"), F.col("value")))
     return groups.groupBy("column").agg(
         F.count("*").alias("keys"),
-        F.count(F.when(F.trim("value") != "", 1)).alias("named_keys"),
+        F.count(F.when(F.trim(F.col("value"), F.lit(SPACES)) != "", 1)).alias("named_keys"),
         F.count(F.when(F.col("filled") > 0, 1)).alias("sold_keys"),
         F.sum("total").alias("grand_total"),
         F.min(ranked).alias("best"),
@@ -245,15 +245,15 @@ def calculate_kpis(df: DataFrame, profile: Profile | None = None, store: bool =
 
     if money_column:
         if t["net_count"]:
-            add("total_sales", t["total_sales"], money(t["total_sales"]),
+            add("total_sales", t["total_sales"], dollars(t["total_sales"]),
                 fv.NET_SALES_EXCLUDING if excluded else None, column=money_column, statuses=statuses)
-            add("average_order_value", t["average_order_value"], money(t["average_order_value"]))
+            add("average_order_value", t["average_order_value"], dollars(t["average_order_value"]))
             middle = median(df, profile)
-            add("median_sale", middle, money(middle))
-            add("largest_sale", t["largest_sale"], money(t["largest_sale"]))
+            add("median_sale", middle, dollars(middle))
+            add("largest_sale", t["largest_sale"], dollars(t["largest_sale"]))
         if excluded and t["gross_count"]:
             lost = t["cancelled_value"] or 0.0
-            add("cancelled_value", lost, money(lost), count=excluded)
+            add("cancelled_value", lost, dollars(lost), count=excluded)
 
     if profile.quantity_column and t["quantity_count"]:
         units = groups["unit"]["keys"] if "unit" in groups else (0 if profile.unit_column else 1)
@@ -273,7 +273,7 @@ def calculate_kpis(df: DataFrame, profile: Profile | None = None, store: bool =
             if not found or not found.sold_keys:
                 continue
             share = found.best_total / found.grand_total * 100 if found.grand_total else 0.0
-            add(key, found.best_total, found.best_key, money=money(found.best_total), share=share)
+            add(key, found.best_total, found.best_key, money=dollars(found.best_total), share=share)
             result.context[f"{key}_share"] = share
             result.context[f"{key}_table"] = best_table(df, profile, getattr(profile, attribute))
 
@@ -281,7 +281,7 @@ def calculate_kpis(df: DataFrame, profile: Profile | None = None, store: bool =
         rate = excluded / rows * 100
         add("cancellation_rate", rate, f"{rate:,.1f}٪", statuses=statuses)
     if profile.has_pending and money_column and t["pending_amount"]:
-        add("pending_amount", t["pending_amount"], money(t["pending_amount"]),
+        add("pending_amount", t["pending_amount"], dollars(t["pending_amount"]),
             statuses=fv.LIST_COMMA.join(profile.pending_statuses))
 
     if profile.primary_date and money_column:

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablescope import fixed_values as fv
-from tablescope.functions.numbers import to_double
+from tablescope.functions.numbers import plain_text, to_double
 from tablescope.functions.text import contains_any, has_hint, needs_nfkc, normalize_text
 from tablescope.operators.distinct import distinct_counts, quoted
 from tablescope.plans.profile import ColumnProfile, Profile
 
-# Status spellings listed in a profile; beyond, rows are tested for the words.
-STATUS_CAP = 1000
+# Up to so many spellings a row's status is looked up among them, which a scan can
+# evaluate; beyond, it is tested for the words they were found by. Same rows.
+LOOKED_UP = 1000
 _SAMPLE_CHARS = 40
 
 
@@ -72,9 +73,9 @@ def column_statistics(df: DataFrame) -> dict[str, dict]:
             exprs.append(F.sum(F.abs(to_double(col, field.dataType))).alias(f"total{i}"))
         elif not is_date(field.dataType):
             exprs.append(F.avg(F.length(col.cast("string"))).alias(f"length{i}"))
-        shown = col if is_numeric(field.dataType) or is_date(field.dataType) else (
-            F.substring(col.cast("string"), 1, _SAMPLE_CHARS))
-        exprs.append(F.min(shown).cast("string").alias(f"sample{i}"))
+        plain = is_numeric(field.dataType) or is_date(field.dataType)
+        shown = F.min(col if plain else F.substring(col.cast("string"), 1, _SAMPLE_CHARS))
+        exprs.append(plain_text(shown, field.dataType if plain else T.StringType()).alias(f"sample{i}"))
     row = df.agg(*exprs).first().asDict()
     unique = distinct_counts(df, names)
     return {n: {
@@ -99,16 +100,17 @@ def _set_statuses(df: DataFrame, profile: Profile) -> None:
             .withColumn("negative", contains_any(F.col("normal"), fv.NEGATIVE_STATUS_WORDS))
             .withColumn("pending", contains_any(F.col("normal"), fv.PENDING_STATUS_WORDS))
             .filter(F.col("negative") | F.col("pending") | (F.lit(not unicode_forms) & F.col("odd")))
-            .limit(STATUS_CAP + 1).collect())
+            .collect())
 
+    # Distinct spellings only, all of them: the profile and the figures' wording name each.
     rows = spellings(False)
-    if any(r.odd for r in rows) or len(rows) > STATUS_CAP:
+    if any(r.odd for r in rows):
         rows = spellings(True)
     for kind in ("negative", "pending"):
-        normal = sorted({r.normal for r in rows if r[kind]})
-        # A list cut short would be wrong: then rows are tested for the words.
-        members = None if len(rows) > STATUS_CAP else sorted(r.raw for r in rows if r[kind])
-        profile.override(None, **{f"{kind}_statuses": normal, f"{kind}_members": members})
+        found = sorted(r.raw for r in rows if r[kind])
+        members = None if len(found) > LOOKED_UP else found
+        profile.override(None, **{f"{kind}_statuses": sorted({r.normal for r in rows if r[kind]}),
+                                  f"{kind}_members": members})
 
 
 def profile_dataset(df: DataFrame, roles=None, **elected) -> Profile:

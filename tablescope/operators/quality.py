@@ -125,15 +125,18 @@ def value_checks(df: DataFrame, measures: list[str], percents: list[str]) -> Dat
     return df.agg(F.array(*parts).alias("checks")).select(F.inline("checks"))
 
 
-def _mixed_numbers(raw: DataFrame, columns: list[str]) -> dict[str, list[str]]:
-    """Examples of unreadable values for text columns that are mostly numbers."""
+def _mixed_numbers(raw: DataFrame, columns: list[str], **style) -> dict[str, list[str]]:
+    """Examples of unreadable values for text columns that are mostly numbers, read in the given style.
+
+    Columns go by their raw names; those that cleaning has renamed are not looked at.
+    """
     if not columns:
         return {}
     exprs, failed = [], {}
     for i, name in enumerate(columns):
         text = quoted(name)
         filled = F.trim(text, F.lit(SPACES)) != ""
-        number = parse_number(text)
+        number = parse_number(text, **style)
         exprs += [F.count(F.when(filled, 1)).alias(f"f{i}"),
                   F.count(F.when(filled, number)).alias(f"n{i}")]
         failed[name] = F.when(number.isNull(), text)
@@ -181,7 +184,9 @@ def assess_quality(raw: DataFrame, clean: DataFrame, cleaning: CleaningResult |
     clean_types = {f.name: f.dataType for f in clean.schema.fields}
     repaired = [f.name for f in raw.schema.fields if _is_text(f.dataType)
                 and f.name in clean_types and is_numeric(clean_types[f.name])]
-    for name, examples in _mixed_numbers(raw, repaired).items():
+    options = cleaning.plan.options if cleaning else None
+    style = {k: getattr(options, k) for k in ("signed_thousands", "decimal_style")} if options else {}
+    for name, examples in _mixed_numbers(raw, repaired, **style).items():
         add(name, "mixed_numbers", fv.MEDIUM, examples=examples)
     for name, values in (cleaning.rejected_values if cleaning else {}).items():
         add(name, "rejected", fv.HIGH, cleaning.rejected_counts.get(name, len(values)), examples=values[:3])

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablescope import fixed_values as fv
 from tablescope.operators.distinct import distinct_counts, quoted
@@ -88,14 +90,19 @@ def share(df: DataFrame, profile: Profile, dimension: str, measure: str | None =
     """``key, value, share_pct`` of positive totals; beyond ``slices`` keys the
     smaller ones are summed up as others."""
     positive = _grouped(df, profile, dimension, measure or profile.primary_measure).filter("value > 0")
-    shape = positive.agg(F.sum("value").alias("total"), F.count("*").alias("keys")).first()
-    few = shape["keys"] <= slices
-    largest = positive.orderBy(F.desc("value"), "key").limit(slices if few else slices - 1)
-    named = largest.select(F.col("key").cast("string").alias("key"), "value")
-    if not few:
-        shown = named.agg((F.lit(shape["total"]) - F.sum("value")).alias("value"))
-        named = named.unionByName(shown.select(F.lit(fv.OTHERS).alias("key"), "value"))
-    return named.withColumn("share_pct", F.col("value") / F.lit(shape["total"]) * 100)
+    positive = positive.select(F.col("key").cast("string").alias("key"), "value")
+    largest = positive.orderBy(F.desc("value"), "key").limit(slices + 1).collect()
+    if len(largest) > slices:
+        # The others are summed themselves: what is left of a large total would lose their digits.
+        shown = largest[:slices - 1]
+        rest = positive.filter(~F.col("key").isin([r["key"] for r in shown])).agg(F.sum("value")).first()[0]
+        rows = [(r["key"], r["value"]) for r in shown] + [(fv.OTHERS, rest)]
+    else:
+        rows = [(r["key"], r["value"]) for r in largest]
+    total = math.fsum(float(v) for _, v in rows)
+    return df.sparkSession.createDataFrame(
+        [(k, v, float(v) / total * 100) for k, v in rows],
+        T.StructType([T.StructField("key", T.StringType()), positive.schema["value"], T.StructField("share_pct", T.DoubleType())]))
 
 
 def status_counts(df: DataFrame, profile: Profile) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescope import fixed_values as fv
+from tablescope.functions.numbers import plain_text
 from tablescope.operators.distinct import distinct_counts, label_counts, quoted
 from tablescope.operators.profiling import measure
 from tablescope.plans.profile import Profile
@@ -19,7 +20,7 @@ def filter_categories(df: DataFrame, selected: Mapping[str, Sequence[str]]) -> D
     """Keep rows whose value is among those selected; nothing selected filters nothing."""
     for name, values in selected.items():
         if values:
-            df = df.filter(quoted(name).cast("string").isin([str(v) for v in values]))
+            df = df.filter(plain_text(quoted(name), df.schema[name].dataType).isin([str(v) for v in values]))
     return df
 
 
@@ -48,8 +49,9 @@ def search(df: DataFrame, needle: str) -> DataFrame:
     if not needle:
         return df
     found = F.lit(False)
-    for name in df.columns:
-        found = found | F.coalesce(F.lower(quoted(name).cast("string")).contains(needle), F.lit(False))
+    for field in df.schema.fields:
+        shown = F.lower(plain_text(quoted(field.name), field.dataType))
+        found = found | F.coalesce(shown.contains(needle), F.lit(False))
     return df.filter(found)
 
 
@@ -69,7 +71,7 @@ def filter_domains(df: DataFrame, profile: Profile) -> DataFrame:
     known = {n: profile.columns[n].unique_values for n in names}
     if not all(known.values()):
         known = distinct_counts(df, names)
-    few = {n: quoted(n).cast("string") for n in names if 0 < known[n] <= fv.FILTER_OPTIONS}
+    few = {n: plain_text(quoted(n), df.schema[n].dataType) for n in names if 0 < known[n] <= fv.FILTER_OPTIONS}
     parts = []
     if few:
         parts.append(label_counts(df, few).select(

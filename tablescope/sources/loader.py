@@ -15,25 +15,21 @@ from tablescope import fixed_values as fv
 from tablescope.operators.distinct import quoted
 
 SEPARATORS = (",", ";", "\t", "|")
+# A field that begins with a quote which its line does not close; a quote inside a field is none.
+_OPEN_FIELD = r'(?:^|[,;\t|])"(?:[^"]|"")*$'
+MALFORMED = "__malformed"
 _WHOLE = r"^[-+]?\d{1,18}$"
 _REAL = r"^[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?$"
 _BOOLEANS = ("True", "TRUE", "true", "False", "FALSE", "false")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a plain scan of few splits one partition per core.
-
-    Small files come as a single split, on which parsing would run on one core.
-    Scans with enough splits are left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 # --- dialects ---------------------------------------------------------------
 
 def _dialects(spark: SparkSession, path):
-    """Per file: is it UTF-8, how often each separator occurs, its header line."""
+    """Files of one dialect and header: are they UTF-8, how often each separator occurs, the header line.
+
+    Files are grouped where they are read; the driver sees one row for each group.
+    """
     lines = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("file"),
         F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("place")
@@ -43,14 +39,16 @@ def _dialects(spark: SparkSession, path):
     counted = lines.select(
         "*", *[(F.length(bare) - F.length(F.replace(bare, F.lit(s), F.lit("")))).alias(f"s{i}")
                for i, s in enumerate(SEPARATORS)],
-        (F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))).alias("quotes"))
-    return counted.groupBy("file").agg(
+        F.col("value").rlike(_OPEN_FIELD).alias("open"))
+    files = counted.groupBy("file").agg(
         F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
-        F.bool_or(F.col("quotes") % 2 == 1).alias("multiline"),
+        F.bool_or("open").alias("multiline"),
         F.min_by(F.col("value").cast("binary"), "place").alias("header"),
         F.min_by(F.struct(*[f"s{i}" for i in range(len(SEPARATORS))]), "place").alias("first"),
         *[F.min(f"s{i}").alias(f"min{i}") for i in range(len(SEPARATORS))],
-        *[F.max(f"s{i}").alias(f"max{i}") for i in range(len(SEPARATORS))]).collect()
+        *[F.max(f"s{i}").alias(f"max{i}") for i in range(len(SEPARATORS))])
+    alike = [c for c in files.columns if c != "file"]
+    return files.groupBy(*alike).agg(F.collect_list("file").alias("files")).collect()
 
 
 def _separator(row) -> str:
@@ -58,6 +56,8 @@ def _separator(row) -> str:
     fitting = [(row[f"min{i}"] == row["first"][i], row["first"][i], -i, s)
                for i, s in enumerate(SEPARATORS)
                if row["first"][i] > 0 and (row[f"max{i}"] <= row["first"][i] or row["multiline"])]
+    if not fitting:  # some line has more: rows are then counted as malformed, not cut
+        fitting = [(True, row["first"][i], -i, s) for i, s in enumerate(SEPARATORS) if row["first"][i] > 0]
     return max(fitting)[3] if fitting else SEPARATORS[-1]
 
 
@@ -72,24 +72,29 @@ def _header_names(header: bytes, encoding: str, separator: str) -> tuple[str, ..
 
 
 def read_csv(spark: SparkSession, path, legacy_encoding: str = "windows-1256") -> DataFrame:
-    """All columns as text. Files of one folder may differ in encoding, separator
-    and header; they are combined by column name."""
+    """All columns as text, and MALFORMED: the whole line where it has more or fewer fields than the header.
+
+    Files of one folder may differ in encoding, separator and header; they are
+    combined by column name.
+    """
     groups = defaultdict(list)
     for row in _dialects(spark, path):
         separator = _separator(row)
         encoding = "UTF-8" if row.utf8 else legacy_encoding
         names = _header_names(bytes(row.header), encoding, separator)
-        groups[encoding, separator, row.multiline, names].append(row.file)
+        groups[encoding, separator, row.multiline, names].extend(row.files)
     if not groups:
         raise ValueError(fv.ERRORS["no_rows"])
     out = None
     for (encoding, separator, multiline, names), files in sorted(groups.items()):
         if encoding != "UTF-8":
-            # Spark refuses charsets outside its short list without this.
+            # Spark refuses charsets outside its short list without this, also when the rows
+            # are read later, so it stays on.
             spark.conf.set("spark.sql.legacy.javaCharsets", "true")
         part = spark.read.csv(
             files, header=True, sep=separator, encoding=encoding, multiLine=multiline, quote='"', escape='"',
-            schema=T.StructType([T.StructField(n, T.StringType()) for n in names]))
+            mode="PERMISSIVE", columnNameOfCorruptRecord=MALFORMED,
+            schema=T.StructType([T.StructField(n, T.StringType()) for n in (*names, MALFORMED)]))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 
@@ -108,14 +113,19 @@ def _missing_to_null(df: DataFrame) -> DataFrame:
     return df.select(*[fix(f) for f in df.schema.fields])
 
 
-def prepare_loaded(df: DataFrame, typed: bool = False, typos=None) -> DataFrame:
+def prepare_loaded(df: DataFrame, typed: bool = False, typos=None, malformed: str = "raise") -> DataFrame:
     """Drop columns and rows without any value; repair known misspellings.
 
     With ``typed``, text columns that hold nothing but plain numbers or booleans
-    get that type. All of it is decided by one aggregation.
+    get that type. All of it is decided by one aggregation, which also counts the
+    malformed rows: ``malformed`` says whether they ``raise`` or are left out (``drop``).
     """
     if not df.columns:
         raise ValueError(fv.ERRORS["no_rows"])
+    marked = MALFORMED in df.columns
+    if marked and malformed == "drop":
+        # Parsed once more, whole: the mark is known only when all fields are read.
+        df = df.filter(quoted(MALFORMED).isNull())
     df = _missing_to_null(df)
     exprs = [F.count("*").alias("rows")]
     for i, field in enumerate(df.schema.fields):
@@ -129,10 +139,13 @@ def prepare_loaded(df: DataFrame, typed: bool = False, typos=None) -> DataFrame:
     row = df.agg(*exprs).first().asDict()
     if not row["rows"]:
         raise ValueError(fv.ERRORS["no_rows"])
+    bad = row[f"n{df.columns.index(MALFORMED)}"] if marked else 0
+    if bad and malformed == "raise":
+        raise ValueError(f"{bad} rows have more or fewer fields than the header")
     kept = []
     for i, field in enumerate(df.schema.fields):
         n = row[f"n{i}"]
-        if not n:
+        if not n or field.name == MALFORMED:
             continue
         col = quoted(field.name)
         if row.get(f"whole{i}") == n:
@@ -154,16 +167,21 @@ def prepare_loaded(df: DataFrame, typed: bool = False, typos=None) -> DataFrame:
 
 
 def _extension(path) -> str:
-    first = str(path if isinstance(path, str) else path[0]).strip().lower().rstrip("/")
-    match = re.search(r"\.([a-z0-9]+)$", first)
-    return match.group(1) if match else ""
+    """The one extension of all paths, empty if they differ."""
+    paths = [path] if isinstance(path, str) else path
+    found = {m[1] if (m := re.search(r"\.([a-z0-9]+)$", str(p).strip().lower().rstrip("/"))) else "" for p in paths}
+    return found.pop() if len(found) == 1 else ""
 
 
-def load(spark: SparkSession, path, typos=None) -> DataFrame:
-    """Read a CSV or Parquet file, folder or list of files, by its extension."""
+def load(spark: SparkSession, path, typos=None, malformed: str = "raise") -> DataFrame:
+    """Read a CSV or Parquet file, folder or list of files, by its extension.
+
+    CSV rows with more or fewer fields than the header are an error, or are left out
+    with ``malformed="drop"``; ``read_csv`` shows them.
+    """
     kind = _extension(path)
     if kind == "csv":
-        return prepare_loaded(spread(read_csv(spark, path)), typed=True, typos=typos)
+        return prepare_loaded(read_csv(spark, path), typed=True, typos=typos, malformed=malformed)
     if kind == "parquet":
         paths = [path] if isinstance(path, str) else list(path)
         return prepare_loaded(spark.read.parquet(*paths), typos=typos)

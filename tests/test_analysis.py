@@ -54,14 +54,19 @@ def test_unknown_data(spark):
         p.override(no_such_field="x")
 
 
-def test_statuses_beyond_the_cap_use_the_words(spark, monkeypatch):
-    monkeypatch.setattr(profiling, "STATUS_CAP", 1)
+def test_many_statuses_are_all_listed(spark, monkeypatch):
+    monkeypatch.setattr(profiling, "LOOKED_UP", 1)
     rows = [("Cancelled", 5.0), ("returned", 3.0), ("open", 2.0), (None, 1.0)]
     df = spark.createDataFrame(rows, "status string, amount double")
     p = profiling.profile_dataset(df)
-    assert p.negative_members is None
+    assert p.negative_members is None and p.negative_statuses == ["Cancelled", "returned"]
     assert df.filter(p.is_active()).agg(F.sum("amount")).first()[0] == 3.0
     assert kpis.calculate_kpis(df, p).get("total_sales").value == 3.0
+    many = spark.range(3000).selectExpr("concat('pending ', id) AS status", "1.0D AS amount")
+    found = profiling.profile_dataset(many, {"status": ("category", "status")})
+    assert len(found.pending_statuses) == 3000 and not found.has_negative
+    figures = kpis.calculate_kpis(many, found)
+    assert figures.get("cancellation_rate") is None and figures.get("pending_amount").value == 3000
 
 
 def test_structure(spark, bundle):

@@ -52,13 +52,11 @@ def rows(spark):
     return spark.createDataFrame(values, "i int, s string, t string")
 
 
-def test_drop_duplicates(rows, monkeypatch):
+def test_drop_duplicates(rows):
     expected = {(1, "a", None), (1, None, "a"), (2, "b", "c"), (3, "x", "y")}
-    for limit in (10, 0):  # by broadcast, and beyond the bound
-        monkeypatch.setattr(dedupe, "BROADCAST_KEYS", limit)
-        kept = [tuple(r) for r in dedupe.drop_duplicates(rows).collect()]
-        assert len(kept) == 4 and set(kept) == expected
-        assert dedupe.count_duplicates(rows) == 3
+    kept = [tuple(r) for r in dedupe.drop_duplicates(rows).collect()]
+    assert len(kept) == 4 and set(kept) == expected
+    assert dedupe.count_duplicates(rows) == 3
 
 
 def test_no_duplicates_means_no_extra_work(rows):

@@ -100,7 +100,7 @@ def test_display(spark):
     df = spark.createDataFrame([(1234.5,), (-1234.0,), (12.345,), (999.999,)], "v double")
     shown = [r[0] for r in df.select(numbers.money_text(F.col("v"))).collect()]
     assert shown == ["$1,234", "$-1,234", "$12.35", "$1,000.00"] or shown[2] == "$12.34"
-    assert shown == [numbers.money(v) for v in (1234.5, -1234.0, 12.345, 999.999)]
+    assert shown == [numbers.dollars(v) for v in (1234.5, -1234.0, 12.345, 999.999)]
     assert df.select(numbers.percent_text(F.lit(54.72))).first()[0] == "54.7٪"
 
 
@@ -145,3 +145,10 @@ def test_jalali_years_are_whole(spark):
     lengths = {r.y: r.n for r in years.collect()}
     assert set(lengths.values()) == {365, 366}
     assert [y for y in range(1390, 1410) if lengths[y] == 366] == [1391, 1395, 1399, 1403, 1408]
+
+
+def test_plain_text(spark):
+    values = [12345678.0, 0.0004, 0.5, 1e16, 1.5e17, 4e-05, -2.5e-7, 1.0, -1234567890.125, 9007199254740993.0, 1e300, 1e-300]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = [r[0] for r in df.select(numbers.plain_text(df["v"], df.schema["v"].dataType)).collect()]
+    assert got == [str(v) for v in values]

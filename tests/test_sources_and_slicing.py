@@ -120,3 +120,17 @@ def test_domains(table):
     assert sorted(r.value for r in got if r.kind == "category") == ["a", "b", "c"]
     assert [(r.low, r.high) for r in got if r.kind == "number"] == [(1.0, 4.0)]
     assert [(r["first"], r["last"]) for r in got if r.kind == "date"] == [(dt.date(2026, 1, 1), dt.date(2026, 1, 3))]
+
+
+def test_malformed_rows_are_not_lost(spark, tmp_path):
+    path = tmp_path / "rows.csv"
+    path.write_text('a,b\n1,5" pipe\n2,x,EXTRA,MORE\n3\n4,"two\nlines"\n')
+    with pytest.raises(ValueError, match="2 rows"):
+        load(spark, str(path))
+    kept = load(spark, str(path), malformed="drop")
+    assert sorted(tuple(r) for r in kept.collect()) == [(1, '5" pipe'), (4, "two\nlines")]
+
+
+def test_paths_of_different_kinds_are_refused(spark):
+    with pytest.raises(ValueError):
+        load(spark, ["a.csv", "b.parquet"])

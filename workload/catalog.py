@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,7 +16,8 @@ from tablescope.operators.quantiles import exact_quantiles
 from tablescope.pipeline import build_analysis
 from tablescope.plans import CleaningPlan
 from tablescope.session import materialize, new_path
-from tablescope.sources import load, spread, write_csv
+from tablescope.sources import load, read_csv, write_csv
+from tablescope.sources.loader import MALFORMED
 from workload import views as v
 
 QUERIES: dict = {}
@@ -39,7 +42,7 @@ def rounded(df, *names, digits=2):
 
 @query("ascii_digits", "SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS digits FROM orders")
 def ascii_digits(spark, sf):
-    orders = spread(v.table(spark, sf, "orders"))
+    orders = v.table(spark, sf, "orders")
     written = orders.select("o_orderkey", v.persian(F.col("o_orderkey").cast("string")).alias("t"))
     return written.select("o_orderkey", text.to_ascii_digits(F.col("t")).alias("digits"))
 
@@ -47,20 +50,20 @@ def ascii_digits(spark, sf):
 @query("normalize_text_documents",
        r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM documents")
 def normalize_text_documents(spark, sf):
-    return spread(v.table(spark, sf, "documents")).select("doc_id", text.normalize_text(F.col("text")).alias("text"))
+    return v.table(spark, sf, "documents").select("doc_id", text.normalize_text(F.col("text")).alias("text"))
 
 
 @query("normalize_text_conversations",
        r"SELECT conv_id, turn, role, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM conversations")
 def normalize_text_conversations(spark, sf):
-    return spread(v.table(spark, sf, "conversations")).select(
+    return v.table(spark, sf, "conversations").select(
         "conv_id", "turn", text.normalize_text(F.col("role")).alias("role"),
         text.normalize_text(F.col("text")).alias("text"))
 
 
 @query("normalize_names", "SELECT c_custkey, c_name AS name FROM customer")
 def normalize_names(spark, sf):
-    written = spread(v.table(spark, sf, "customer")).select("c_custkey", F.concat(
+    written = v.table(spark, sf, "customer").select("c_custkey", F.concat(
         F.lit("\u200f"), v.full_width(F.col("c_name")), F.lit("\u00a0\t")).alias("t"))
     return written.select("c_custkey", text.empty_to_null(text.normalize_text(F.col("t"))).alias("name"))
 
@@ -71,20 +74,20 @@ def normalize_names(spark, sf):
   FROM orders""")
 def display_forms(spark, sf):
     price = F.col("o_totalprice")
-    return spread(v.table(spark, sf, "orders")).select(
+    return v.table(spark, sf, "orders").select(
         "o_orderkey", numbers.money_text(price).alias("money"), numbers.percent_text(price / 7).alias("percent"))
 
 
 @query("parse_money", "SELECT o_orderkey, o_totalprice AS amount FROM orders")
 def parse_money(spark, sf):
-    written = spread(v.table(spark, sf, "orders")).select(
+    written = v.table(spark, sf, "orders").select(
         "o_orderkey", v.money_text(F.col("o_orderkey"), F.col("o_totalprice")).alias("t"))
     return written.select("o_orderkey", numbers.parse_number(F.col("t")).alias("amount"))
 
 
 @query("parse_accounting", "SELECT c_custkey, -abs(c_acctbal) AS balance FROM customer")
 def parse_accounting(spark, sf):
-    written = spread(v.table(spark, sf, "customer")).select(
+    written = v.table(spark, sf, "customer").select(
         "c_custkey", F.concat(F.lit("("), F.format_number(F.abs("c_acctbal"), 2), F.lit(")")).alias("t"))
     return written.select("c_custkey", numbers.parse_number(F.col("t")).alias("balance"))
 
@@ -95,7 +98,7 @@ def parse_accounting(spark, sf):
 def parse_percent(spark, sf):
     def written(name, sign):
         return F.concat(F.round(F.col(name) * 100, 0).cast("int").cast("string"), F.lit(sign))
-    lines = spread(v.table(spark, sf, "lineitem")).select(
+    lines = v.table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", written("l_discount", "%").alias("d"),
         v.persian(written("l_tax", " ٪")).alias("t"))
     return lines.select("l_orderkey", "l_linenumber", "l_partkey",
@@ -127,7 +130,7 @@ def numeric_parse_ratio(spark, sf):
 
 @query("parse_dates", "SELECT o_orderkey, o_orderdate AS day FROM orders")
 def parse_dates(spark, sf):
-    written = spread(v.table(spark, sf, "orders")).select(
+    written = v.table(spark, sf, "orders").select(
         "o_orderkey", v.date_text(F.col("o_orderkey"), F.col("o_orderdate")).alias("t"))
     return written.select("o_orderkey", dates.parse_dates(F.col("t")).alias("day"))
 
@@ -137,7 +140,7 @@ def parse_dates(spark, sf):
          date_trunc('month', o_orderdate)::TIMESTAMP AS month FROM orders""")
 def parse_written_dates(spark, sf):
     day = F.col("o_orderdate")
-    written = spread(v.table(spark, sf, "orders")).select(
+    written = v.table(spark, sf, "orders").select(
         "o_orderkey", F.date_format(day, "M/d/yyyy").alias("us"), F.date_format(day, "MMMM d, yyyy").alias("named"),
         F.date_format(day, "yyyyMMdd").alias("compact"), F.date_format(day, "yyyy-MM").alias("month"))
     return written.select("o_orderkey", *[dates.parse_dates(F.col(c)).alias(c)
@@ -146,7 +149,7 @@ def parse_written_dates(spark, sf):
 
 @query("parse_timestamps", "SELECT event_id, date_trunc('second', ts) AS ts FROM events")
 def parse_timestamps(spark, sf):
-    written = spread(v.table(spark, sf, "events")).select(
+    written = v.table(spark, sf, "events").select(
         "event_id", F.when(F.col("event_id") % 2 == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
         .otherwise(F.date_format("ts", "yyyy/MM/dd'T'HH:mm:ss")).alias("t"))
     return written.select("event_id", dates.parse_dates(F.col("t")).alias("ts"))
@@ -154,7 +157,7 @@ def parse_timestamps(spark, sf):
 
 @query("jalali_dates", "SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate AS shipped FROM lineitem")
 def jalali_dates(spark, sf):
-    written = spread(v.table(spark, sf, "lineitem")).select(
+    written = v.table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", v.jalali_text(F.col("l_shipdate").cast("date")).alias("t"))
     return written.select("l_orderkey", "l_linenumber", "l_partkey", dates.parse_jalali(F.col("t")).alias("shipped"))
 
@@ -799,3 +802,88 @@ def monthly_growth(spark, sf):
     months = kpis.monthly_sales(v.sales_orders(spark, sf), v.orders_profile())
     growth = F.round((F.col("total") - before) / F.abs(before) * 100, 2)
     return rounded(months.select("month", "total", growth.alias("growth_pct")), "total")
+
+
+# --- cases the tables above do not hold ----------------------------------------
+
+@query("many_statuses", """
+  WITH s AS (SELECT concat(CASE WHEN c_custkey % 3 = 0 THEN 'open ' WHEN c_custkey % 3 = 1 THEN 'paid ' ELSE 'await ' END, c_custkey) AS status,
+                    c_acctbal AS amount FROM customer)
+  SELECT count(*) FILTER (status LIKE 'open%' OR status LIKE 'await%') AS pending_spellings, 0 AS negative_spellings,
+         round(sum(amount) FILTER (status LIKE 'open%' OR status LIKE 'await%'), 2) AS pending_amount, false AS has_cancellation_rate FROM s""")
+def many_statuses(spark, sf):
+    kind = F.element_at(F.array(F.lit("open "), F.lit("paid "), F.lit("await ")), (F.col("c_custkey") % 3 + 1).cast("int"))
+    df = v.table(spark, sf, "customer").select(F.concat(kind, "c_custkey").alias("status"), F.col("c_acctbal").alias("amount"))
+    p = profiling.profile_dataset(df, {"status": ("category", "status"), "amount": ("measure", "money")})
+    figures = kpis.calculate_kpis(df, p)
+    rows = [(len(p.pending_statuses), len(p.negative_statuses), round(figures.get("pending_amount").value, 2),
+             figures.get("cancellation_rate") is not None)]
+    return spark.createDataFrame(
+        rows, "pending_spellings bigint, negative_spellings int, pending_amount double, has_cancellation_rate boolean")
+
+
+@query("search_large_amounts", """
+  SELECT o_orderkey, o_orderkey * 1000000.0::DOUBLE + 12345678 AS amount FROM orders
+  WHERE contains(CAST(CAST(o_orderkey * 1000000 + 12345678 AS BIGINT) AS VARCHAR) || '.0', '2345678')
+     OR contains(CAST(o_orderkey AS VARCHAR), '2345678')""")
+def search_large_amounts(spark, sf):
+    df = v.table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") * F.lit(1e6) + 12345678).alias("amount"))
+    return slicing.search(df, "2345678")
+
+
+@query("share_tiny_tail", """
+  WITH g AS (SELECT c_nationkey, max(c_custkey) AS top FROM customer GROUP BY 1),
+  r AS (SELECT CAST(c_nationkey AS VARCHAR) AS key, CASE WHEN row_number() OVER (ORDER BY c_nationkey) <= 7 THEN 1e17 ELSE 0.25 END AS value FROM g),
+  s AS (SELECT CASE WHEN value > 1 THEN key ELSE 'سایر' END AS key, sum(value) AS value FROM r GROUP BY 1)
+  SELECT key, value, value / sum(value) OVER () * 100 AS share_pct FROM s""")
+def share_tiny_tail(spark, sf):
+    # a window over 25 nations at most
+    df = (v.table(spark, sf, "customer").groupBy(F.col("c_nationkey").cast("string").alias("nation")).agg(F.max("c_nationkey").alias("n"))
+          .withColumn("amount", F.when(F.row_number().over(W.orderBy("n")) <= 7, F.lit(1e17)).otherwise(F.lit(0.25))))
+    p = profiling.Profile.declare({"nation": ("category", "region"), "amount": ("measure", "money")})
+    return rollups.share(df.select("nation", "amount"), p, "nation")
+
+
+@query("blank_customers", """
+  SELECT count(DISTINCT c_name) FILTER (c_custkey % 5 <> 0) AS named FROM customer""")
+def blank_customers(spark, sf):
+    name = F.when(F.col("c_custkey") % 5 == 0, F.lit("\t")).otherwise(F.col("c_name"))
+    df = v.table(spark, sf, "customer").select(name.alias("customer"), F.col("c_acctbal").alias("amount"))
+    p = profiling.Profile.declare({"customer": ("category", "customer"), "amount": ("measure", "money")})
+    figure = kpis.calculate_kpis(df, p).get("unique_customers")
+    return spark.createDataFrame([(int(figure.value),)], "named bigint")
+
+
+@query("regions_all_cancelled", """
+  WITH g AS (SELECT CAST(c_nationkey AS VARCHAR) AS region, sum(c_acctbal) AS total FROM customer GROUP BY 1)
+  SELECT (SELECT region FROM g ORDER BY total DESC, region LIMIT 1) AS best, (SELECT region FROM g ORDER BY total, region LIMIT 1) AS worst""")
+def regions_all_cancelled(spark, sf):
+    df = v.table(spark, sf, "customer").select(
+        F.col("c_nationkey").cast("string").alias("region"), F.col("c_acctbal").alias("amount"), F.lit("cancelled").alias("status"))
+    p = profiling.Profile.declare(
+        {"region": ("category", "region"), "amount": ("measure", "money"), "status": ("category", "status")}, negative=["cancelled"])
+    text = next(i.text for i in insights.generate_insights(df, profile=p) if i.rule_id == "regions")
+    best, worst = re.findall("«(.*?)»", text)
+    return spark.createDataFrame([(best, worst)], "best string, worst string")
+
+
+@query("dedupe_maps", """
+  SELECT c_custkey % 7 AS a, c_nationkey AS b, count(*) > 0 AS kept FROM customer GROUP BY 1, 2""")
+def dedupe_maps(spark, sf):
+    both = F.create_map(F.lit("a"), F.col("c_custkey") % 7, F.lit("b"), F.col("c_nationkey").cast("bigint"))
+    turned = F.create_map(F.lit("b"), F.col("c_nationkey").cast("bigint"), F.lit("a"), F.col("c_custkey") % 7)
+    df = v.table(spark, sf, "customer").select(F.when(F.col("c_custkey") % 2 == 0, both).otherwise(turned).alias("m"))
+    return dedupe.drop_duplicates(df).select(F.col("m")["a"].alias("a"), F.col("m")["b"].cast("int").alias("b"), F.lit(True).alias("kept"))
+
+
+@query("csv_malformed_rows", """
+  SELECT count(*) FILTER (n_nationkey % 5 <> 0) AS whole, count(*) FILTER (n_nationkey % 5 = 0) AS malformed FROM nation""")
+def csv_malformed_rows(spark, sf):
+    extra = F.when(F.col("n_nationkey") % 5 == 0, F.lit(",EXTRA")).otherwise(F.lit(""))
+    lines = v.table(spark, sf, "nation").select(F.concat_ws(",", "n_nationkey", F.concat(F.lit('5" '), "n_name"), F.col("n_regionkey")).alias("value"), extra.alias("extra"))
+    path = new_path(spark, "lines") + ".csv"
+    header = spark.createDataFrame([("key,name,region", 0)], "value string, place int")
+    (lines.select(F.concat("value", "extra").alias("value"), F.lit(1).alias("place")).unionAll(header)
+     .coalesce(1).sortWithinPartitions("place", "value").select("value").write.text(path))
+    return materialize(read_csv(spark, path), "parsed").agg(
+        F.count_if(F.col(MALFORMED).isNull()).alias("whole"), F.count(MALFORMED).alias("malformed"))
