@@ -30,8 +30,12 @@ _MONTHS = (
 _ANY_MONTH = "(?:" + "|".join(name for name, _ in _MONTHS) + ")"
 _NAMED = rf"(?i)^(?:{_ANY_MONTH}\.? \d|\d{{1,2}}[ -]{_ANY_MONTH}\b)"
 _OTHER_FORM = r"^(?:\d{1,2}[-/.]\d{1,2}[-/.]\d{4}(?:$|[ T])|\d{8}$|\d{4}[-/]\d{1,2}$)"
+# Years of two digits: 00 to 75 are 2000 to 2075, the others 1976 to 1999.
+_SHORT_YEAR = rf"(?i)^(\d{{1,2}}([-/.])\d{{1,2}}\2|{_ANY_MONTH}\.? \d{{1,2}},? |\d{{1,2}}[ -]{_ANY_MONTH}\.?,?[ -])"
+_CENTURIES = ((_SHORT_YEAR + r"([0-6]\d|7[0-5])(?=$|[ T])", "$120$3"), (_SHORT_YEAR + r"(7[6-9]|[89]\d)(?=$|[ T])", "$119$3"))
+# A time on the twelve-hour clock: what stands before, hour, what follows it, half of the day.
+_TWELVE = r"(?i)^(.*\d[ T])(0?[1-9]|1[0-2])(:\d{2}(?::\d{2}(?:\.\d{1,9})?)?) ?([ap])\.?m\.?$"
 
-_LONGEST = 40
 _START = r"^(?:\d+[-/. ]|\d{8}$|[JFMASONDjfmasond][A-Za-z]{2,8}\.? \d)"
 
 # Norouz 1404 anchors the Solar Hijri calendar.
@@ -86,8 +90,22 @@ def _iso(text: Column, steps) -> Column:
 
 def _named_month_steps():
     for name, number in _MONTHS:
-        yield rf"(?i)^{name}\.? (\d{{1,2}}),? (\d{{4}})$", f"$2-{number:02d}-$1"
-        yield rf"(?i)^(\d{{1,2}})[ -]{name}\.?,?[ -](\d{{4}})$", f"$2-{number:02d}-$1"
+        yield rf"(?i)^{name}\.? (\d{{1,2}}),? (\d{{4}})(?=$|[ T])", f"$2-{number:02d}-$1"
+        yield rf"(?i)^(\d{{1,2}})[ -]{name}\.?,?[ -](\d{{4}})(?=$|[ T])", f"$2-{number:02d}-$1"
+
+
+def _on_24_hours(text: Column) -> Column:
+    hour = F.regexp_extract(text, _TWELVE, 2).try_cast("int") % 12
+    later = F.lower(F.regexp_extract(text, _TWELVE, 4)) == "p"
+    whole = F.concat(F.regexp_extract(text, _TWELVE, 1), F.lpad((hour + F.when(later, 12).otherwise(0)).cast("string"), 2, "0"),
+                     F.regexp_extract(text, _TWELVE, 3))
+    return F.when(text.rlike(_TWELVE), whole).otherwise(text)
+
+
+def _with_century(text: Column) -> Column:
+    for pattern, replacement in _CENTURIES:
+        text = F.regexp_replace(text, pattern, replacement)
+    return text
 
 
 def parse_dates(col: Column, data_type: T.DataType | None = None,
@@ -96,8 +114,9 @@ def parse_dates(col: Column, data_type: T.DataType | None = None,
 
     Solar Hijri dates are recognised first. Gregorian forms: ISO dates and
     timestamps, ``y/M/d``, ``M/d/y`` (or ``d/M/y`` where that is impossible),
-    ``yyyyMMdd``, ``yyyy-MM``, ``Jan 5 2026`` and ``5 Jan 2026``. Bare years and
-    bare times are not dates.
+    ``yyyyMMdd``, ``yyyy-MM``, ``Jan 5 2026`` and ``5 Jan 2026``; with times, also
+    on the twelve-hour clock, and with years of two digits after day and month.
+    Bare years and bare times are not dates.
     """
     if isinstance(data_type, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return col.cast("timestamp")
@@ -112,9 +131,11 @@ def date_in_tidy(col: Column, strict_days: bool = False) -> Column:
                 .when(text.rlike(_OTHER_FORM), _iso(text, _TO_ISO))
                 .when(text.rlike(_NAMED), _iso(text, _named_month_steps())))
 
-    # No form is longer than this, and each starts with a digit or a month.
-    return let(col, lambda text: F.when(
-        (F.length(text) <= _LONGEST) & text.rlike(_START), value(text)))
+    # Each form starts with a digit or a month.
+    def whole(text: Column) -> Column:
+        return let(F.when(text.rlike(_TWELVE) | text.rlike(_SHORT_YEAR), _with_century(_on_24_hours(text))).otherwise(text), value)
+
+    return let(col, lambda text: F.when(text.rlike(_START), whole(text)))
 
 
 def has_date_name(name: str) -> bool:

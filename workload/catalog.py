@@ -162,6 +162,31 @@ def jalali_dates(spark, sf):
     return written.select("l_orderkey", "l_linenumber", "l_partkey", dates.parse_jalali(F.col("t")).alias("shipped"))
 
 
+@query("parse_dates_us", """
+  SELECT event_id, date_trunc('day', ts) AS short, date_trunc('day', ts) AS named, date_trunc('minute', ts) AS clock,
+         date_trunc('minute', ts) AS iso_clock, date_trunc('minute', ts) AS named_time FROM events""")
+def parse_dates_us(spark, sf):
+    def form(pattern):
+        return F.date_format("ts", pattern)
+
+    written = v.table(spark, sf, "events").select(
+        "event_id", form("MM/dd/yy").alias("short"), form("d-MMM-yy").alias("named"), form("M/d/yyyy h:mm a").alias("clock"),
+        form("yyyy-MM-dd h:mm a").alias("iso_clock"), form("MMM d yyyy HH:mm").alias("named_time"))
+    return written.select("event_id", *[dates.parse_dates(F.col(c)).alias(c) for c in written.columns[1:]])
+
+
+# Day number by the 2820-year cycle, which agrees with the calendar in these years.
+@query("jalali_arithmetic", """
+  WITH k AS (SELECT o_orderkey, 1370 + o_orderkey % 33 AS y, 1 + o_orderkey % 12 AS m, 1 + o_orderkey % 29 AS d FROM orders)
+  SELECT o_orderkey, CAST(DATE '1970-01-01' + CAST(
+           d + CASE WHEN m <= 7 THEN (m - 1) * 31 ELSE (m - 1) * 30 + 6 END + (y * 682 - 110) // 2816 + (y - 1) * 365
+           + 1948320 - 2440588 AS INTEGER) AS TIMESTAMP) AS day FROM k""")
+def jalali_arithmetic(spark, sf):
+    k = F.col("o_orderkey")
+    written = v.table(spark, sf, "orders").select(k, F.concat_ws("/", 1370 + k % 33, 1 + k % 12, 1 + k % 29).alias("t"))
+    return written.select("o_orderkey", dates.parse_jalali(F.col("t")).alias("day"))
+
+
 # --- cleaning ------------------------------------------------------------------
 
 def cleaned(spark, sf):
