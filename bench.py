@@ -21,7 +21,7 @@ HEADLINE = [
     "top10_product", "share_other_nation", "hist_price", "insights", "role_profile_lineitem",
     "value_checks_lineitem", "distinct_counts", "dedupe_documents", "normalize_text_documents",
     "parse_money", "parse_dates", "jalali_dates", "search_rows", "sort_page",
-    "clean_sales", "analyse_untidy_sales",
+    "clean_sales", "analyse_untidy_sales", "kpi_report_lines", "chart_selection", "csv_round_trip",
 ]
 
 

@@ -319,6 +319,9 @@ _ROLES = {
                ("event_type", "category", ""), ("value", "measure", "money"), ("props", "category", "")],
     "documents": [("doc_id", "identifier", "id"), ("text", "text", "free_text"), ("lang", "category", ""),
                   ("source", "category", "channel"), ("n_chars", "measure", "generic")],
+    "conversations": [("conv_id", "measure", "generic"), ("turn", "measure", "generic"), ("role", "category", ""),
+                      ("text", "text", "free_text")],
+    "pages": [("page_id", "identifier", "id"), ("url", "text", "free_text"), ("html", "text", "free_text")],
 }
 
 
@@ -368,7 +371,7 @@ def distinct_counts(spark, sf):
 # --- structure and quality ------------------------------------------------------
 
 @query("structure_documents", """
-  SELECT count(*) AS rows, 6::BIGINT AS columns, (2 * count(*) - count(quality) - count(toxic))::BIGINT AS total_missing,
+  SELECT count(*) AS rows, 7::BIGINT AS columns, (2 * count(*) - count(quality) - count(toxic))::BIGINT AS total_missing,
          0::BIGINT AS duplicate_rows FROM documents LEFT JOIN labels USING (doc_id)""")
 def structure_documents(spark, sf):
     s = quality.analyze_dataset(v.labelled_documents(spark, sf))
@@ -408,7 +411,7 @@ def quality_issues(spark, sf):
 
 
 @query("quality_score", """
-  WITH d AS (SELECT doc_id, lang, source, n_chars, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)),
+  WITH d AS (SELECT * FROM documents LEFT JOIN labels USING (doc_id)),
   q AS (SELECT quantile_cont(n_chars, 0.25) AS a, quantile_cont(n_chars, 0.75) AS b FROM d),
   f AS (SELECT count(*) AS n, count(*) - count(quality) AS mq, count(*) - count(toxic) AS mt,
         count(*) FILTER (n_chars < a - 3 * (b - a) OR n_chars > b + 3 * (b - a)) AS o FROM d, q),
@@ -416,7 +419,7 @@ def quality_issues(spark, sf):
         (CASE WHEN mq / n BETWEEN 0.010000001 AND 0.2 THEN 1 ELSE 0 END)
         + (CASE WHEN mt / n BETWEEN 0.010000001 AND 0.2 THEN 1 ELSE 0 END)
         + (CASE WHEN o > 0 AND o / n <= 0.05 THEN 1 ELSE 0 END) AS medium FROM f)
-  SELECT round(greatest(0, 100 - least((mq + mt) / (6 * n) * 100, 25) - least(4 * high + 2 * medium, 35)), 1) AS score,
+  SELECT round(greatest(0, 100 - least((mq + mt) / (7 * n) * 100, 25) - least(4 * high + 2 * medium, 35)), 1) AS score,
          (mq + mt)::BIGINT AS total_missing, 0::BIGINT AS duplicate_rows FROM i""")
 def quality_score(spark, sf):
     df = v.labelled_documents(spark, sf)

@@ -58,9 +58,8 @@ def sales_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their labels; most have none."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
-    return documents.join(table(spark, sf_dir, "labels"), "doc_id", "left").select(
-        "doc_id", "lang", "source", "n_chars", "quality", "toxic")
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left").select(
+        "doc_id", "text", "lang", "source", "n_chars", "quality", "toxic")
 
 
 # The same views for the SQL side.
