@@ -8,16 +8,20 @@ every half window, and nothing but those hashes is shuffled for the whole corpus
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablescope.llm.frames import quoted, text_or_empty, written
+from tablescope.llm.frames import discard, quoted, text_or_empty, written
+from tablescope.session import new_path
 
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+_MULTIPLIER = 0x9E3779B97F4A7C15
+#: Characters of texts that are hashed together.
+TOGETHER = 1_000_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -25,13 +29,20 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def rolled(x: np.ndarray, k: int, multiplier: np.uint64 = _MULTIPLIER) -> np.ndarray:
-    """Hash of x[i:i+k] for each i."""
-    n = max(len(x) - k + 1, 0)
-    total = np.zeros(n, np.uint64)
-    for j in range(k):
-        total = total * multiplier + x[j:j + n]
-    return mixed(total)
+def rolled(x: np.ndarray, k: int) -> np.ndarray:
+    """Hash of x[i:i+k] for each i; hashes of 1, 2, 4 ... values are put together."""
+    total, length = np.zeros(len(x) + 1, np.uint64), 0
+    part, size = x, 1
+    while True:
+        if k & size:  # the values so far, then this part
+            n = max(len(x) - length - size + 1, 0)
+            total = total[:n] * np.uint64(pow(_MULTIPLIER, size, 1 << 64)) + part[length:length + n]
+            length += size
+        if 2 * size > k:
+            return mixed(total)
+        n = max(len(part) - size, 0)
+        part = part[:n] * np.uint64(pow(_MULTIPLIER, size, 1 << 64)) + part[size:size + n]
+        size *= 2
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -46,6 +57,36 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:-rest], x[rest:]) if rest else x
 
 
+class Windows:
+    """All windows of some texts, as positions in their values laid end to end.
+
+    ``owner`` is the text of each window and ``at`` its place in that text;
+    ``minimizer`` its minimizer. Windows never cross from one text to the next.
+    """
+
+    def __init__(self, values: np.ndarray, lengths: np.ndarray, window: int, piece: int):
+        self.values = values
+        counts = np.maximum(lengths - window + 1, 0)
+        starts = np.cumsum(lengths) - lengths
+        self.owner = np.repeat(np.arange(len(lengths)), counts)
+        self.at = np.arange(len(self.owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+        self.place = np.repeat(starts, counts) + self.at
+        self.minimizer = sliding_min(rolled(values, piece), window - piece + 1)[self.place]
+
+    def changes(self) -> np.ndarray:
+        """Windows whose minimizer is not that of the window before in the same text."""
+        new = np.ones(len(self.owner), bool)
+        new[1:] = (self.minimizer[1:] != self.minimizer[:-1]) | (self.owner[1:] != self.owner[:-1])
+        return np.flatnonzero(new)
+
+
+def portions(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """The rows of a batch, as many together as have ``TOGETHER`` characters of text."""
+    ends = pdf["text"].str.len().cumsum().to_numpy() // TOGETHER
+    for start, stop in zip(edges := np.flatnonzero(np.diff(ends, prepend=-1)), [*edges[1:], len(pdf)]):
+        yield pdf.iloc[start:stop]
+
+
 def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, row, text): ``row`` tells apart texts that have the same key; equal rows share it."""
     return docs.select(quoted(key).alias("doc"), F.hash(text_or_empty(text)).alias("row"), text_or_empty(text).alias("text"))
@@ -56,27 +97,41 @@ def copies(rows: DataFrame) -> DataFrame:
     digests = written(rows.where("doc IS NOT NULL").select(
         "doc", "row", F.unhex(F.sha2("text", 256)).alias("digest")), "digests")
     least = digests.groupBy("digest").agg(F.min("doc").alias("first"))
-    return written(digests.join(least, "digest").select("doc", "row", "first").distinct(), "copies")
+    known = written(digests.join(least, "digest").select("doc", "row", "first").distinct(), "copies")
+    discard(digests)
+    return known
 
 
-def candidates(rows: DataFrame, known: DataFrame, minimizers: Callable[[list[str]], Iterable[np.ndarray]]) -> DataFrame:
+def candidates(rows: DataFrame, known: DataFrame, windows: Callable[[list[str]], Windows]) -> DataFrame:
     """(doc, row, text, anchors): texts with a minimizer that a text of another key has too, and those minimizers.
 
-    Of exact copies only the first takes part; texts without a key do not.
-    ``minimizers`` yields those of each of the given texts, as unsigned numbers.
+    Of exact copies only the first takes part, and of equal rows one; texts without a
+    key do not. The result is a table bucketed by (doc, row), so that joins with it
+    move only what is joined to the texts.
     """
+    spark = rows.sparkSession
     doc_type = rows.schema["doc"].dataType.simpleString()
 
     def emit(batches):
         for pdf in batches:
-            found = [np.unique(m) for m in minimizers(pdf["text"].tolist())]
-            yield pd.DataFrame({
-                "doc": pdf["doc"].repeat([len(m) for m in found]).to_numpy(),
-                "anchor": np.concatenate(found or [np.zeros(0, np.uint64)]).view(np.int64)})
-
-    each = rows.where("doc IS NOT NULL").select("doc", "text").mapInPandas(emit, f"doc {doc_type}, anchor long")
+            for some in portions(pdf):
+                found = windows(some["text"].tolist())
+                new = found.changes()
+                yield pd.DataFrame({"doc": some["doc"].to_numpy()[found.owner[new]],
+                                    "anchor": found.minimizer[new].view(np.int64)})
+
+    rows = rows.where("doc IS NOT NULL")
+    each = written(rows.select("doc", "text").mapInPandas(emit, f"doc {doc_type}, anchor long"), "minimizers")
     shared = written(each.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
                      .where("low < high").select("anchor"), "anchors")
-    lists = each.join(shared, "anchor").groupBy("doc").agg(F.collect_set("anchor").alias("anchors"))
+    lists = written(each.join(shared, "anchor").groupBy("doc").agg(F.collect_set("anchor").alias("anchors")), "lists")
+    discard(each)
+    discard(shared)
     wanted = known.where("doc = first").select("doc", "row").join(lists, "doc")
-    return written(rows.join(wanted, ["doc", "row"]), "candidates")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"candidates_{uuid.uuid4().hex}"
+    (rows.dropDuplicates(["doc", "row"]).join(wanted, ["doc", "row"]).write.format("parquet")
+     .bucketBy(buckets, "doc", "row").option("path", new_path(spark, "candidates")).saveAsTable(name))
+    spark.sparkContext._jvm.System.gc()
+    discard(lists)
+    return spark.table(name)

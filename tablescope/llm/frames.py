@@ -20,6 +20,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def discard(table: DataFrame) -> None:
+    """Delete the files of a ``written`` table that nothing will read again."""
+    jvm, files = table.sparkSession.sparkContext._jvm, table.inputFiles()
+    if files:
+        folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def quoted(name: str) -> Column:
     """The column of exactly this name, whatever marks it holds."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -10,21 +10,18 @@ anything is removed there.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tablescope.llm.anchors import candidates, copies, keyed, rolled, sliding_min
-from tablescope.llm.frames import free_name, quoted, text_or_empty, written
+from tablescope.llm.anchors import Windows, candidates, copies, keyed, portions, rolled
+from tablescope.llm.frames import discard, free_name, quoted, text_or_empty, written
 
 WINDOW = 13
 #: Words of the pieces that minimizers are taken from.
-PIECE = 5
+PIECE = 7
 _REMEMBERED = 500_000
 
 
@@ -49,87 +46,57 @@ def hashed(words: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(map(_HASHES.__getitem__, words)), ">u8").astype(np.uint64)
 
 
-def _window_minimizers(h: np.ndarray) -> np.ndarray:
-    return sliding_min(rolled(h, PIECE), WINDOW - PIECE + 1)
-
-
-def _minimizers(texts: list[str]):
-    for text in texts:
-        yield _window_minimizers(hashed(split(text)))
+def windows(texts: list[str]) -> Windows:
+    words = [split(t) for t in texts]
+    values = hashed([w for part in words for w in part])
+    return Windows(values, np.fromiter(map(len, words), np.int64, len(words)), WINDOW, PIECE)
 
 
 def _edges(batches):
-    """doc, row, pos, edge and its two nodes, for every window whose minimizer is among ``anchors``."""
+    """doc, row, pos and the two nodes of every window whose minimizer is among ``anchors``."""
     for pdf in batches:
-        parts = []
-        for doc, row, text, anchors in zip(pdf["doc"], pdf["row"], pdf["text"], pdf["anchors"]):
-            h = hashed(split(text))
-            at = np.flatnonzero(np.isin(_window_minimizers(h), np.asarray(anchors, np.int64).view(np.uint64)))
-            nodes = rolled(h, WINDOW - 1).view(np.int64)
-            parts.append(pd.DataFrame({
-                "doc": doc, "row": row, "pos": at.astype(np.int32), "edge": rolled(h, WINDOW)[at].view(np.int64),
-                "source": nodes[at], "target": nodes[at + 1]}))
-        if parts:
-            yield pd.concat(parts, ignore_index=True)
-
-
-def _digest(words: list[bytes]) -> str:
-    return hashlib.sha256(b" ".join(words)).hexdigest()
+        for some in portions(pdf):
+            found = windows(some["text"].tolist())
+            shared = np.concatenate([np.asarray(a, np.int64) for a in some["anchors"]]).view(np.uint64)
+            at = np.flatnonzero(np.isin(found.minimizer, shared))
+            nodes = rolled(found.values, WINDOW - 1).view(np.int64)
+            owner, place = found.owner[at], found.place[at]
+            yield pd.DataFrame({
+                "doc": some["doc"].to_numpy()[owner], "row": some["row"].to_numpy()[owner],
+                "pos": found.at[at].astype(np.int32), "source": nodes[place], "target": nodes[place + 1]})
 
 
 def paths(edges: DataFrame) -> DataFrame:
-    """(edge, first_doc, first_pos, head): repeated edges, where each was first seen, and its path's first position."""
+    """(source, target, first_doc, first_row, first_pos, head): repeated edges, where each was first seen, and
+    the position in that document at which its path begins."""
     graph = written(
-        edges.groupBy("edge").agg(
-            F.min(F.struct("doc", "pos", "row")).alias("first"), F.max("doc").alias("last"),
-            F.min("source").alias("source"), F.min("target").alias("target"))
+        edges.groupBy("source", "target").agg(F.min(F.struct("doc", "pos", "row")).alias("first"), F.max("doc").alias("last"))
         .where("first.doc < last")
-        .select("edge", F.col("first.doc").alias("first_doc"), F.col("first.row").alias("first_row"),
-                F.col("first.pos").alias("first_pos"), "source", "target"), "graph")
+        .select("source", "target", F.col("first.doc").alias("first_doc"), F.col("first.row").alias("first_row"),
+                F.col("first.pos").alias("first_pos")), "graph")
     # a node that one edge enters and one edge leaves joins the two into a path
-    ends = graph.select(F.col("target").alias("node"), F.lit(1).alias("enters"), F.lit(0).alias("leaves")).unionAll(
-        graph.select(F.col("source").alias("node"), F.lit(0).alias("enters"), F.lit(1).alias("leaves")))
-    through = (ends.groupBy("node").agg(F.sum("enters").alias("enters"), F.sum("leaves").alias("leaves"))
-               .where("enters = 1 AND leaves = 1").select("node"))
-    before = graph.select(
-        "first_doc", "first_row", (F.col("first_pos") + 1).alias("first_pos"), F.col("target").alias("node"))
-    inner = (graph.withColumnRenamed("source", "node").join(through, "node")
-             .join(before, ["first_doc", "first_row", "first_pos", "node"], "left_semi").select("edge"))
-    heads = graph.join(inner.withColumn("inner", F.lit(True)), "edge", "left")
-    # one document's stretch of edges, split where a path begins or edges are missing
-    stretches = heads.groupBy("first_doc", "first_row").agg(
-        F.collect_list(F.struct("first_pos", F.coalesce("inner", F.lit(False)).alias("inner"), "edge")).alias("part"))
-    doc_type = edges.schema["doc"].dataType.simpleString()
-
-    def number(batches):
-        for pdf in batches:
-            for doc, row, part in zip(pdf["first_doc"], pdf["first_row"], pdf["part"]):
-                t = pd.DataFrame.from_records([(p["first_pos"], p["inner"], p["edge"]) for p in part],
-                                              columns=["first_pos", "inner", "edge"]).sort_values("first_pos")
-                pos = t["first_pos"].to_numpy()
-                begins = ~t["inner"].to_numpy(bool)
-                begins[0] = True
-                yield pd.DataFrame({"edge": t["edge"], "first_doc": doc, "first_row": row, "first_pos": pos,
-                                    "head": pos[np.maximum.accumulate(np.where(begins, np.arange(len(t)), 0))]})
-
-    return written(stretches.mapInPandas(
-        number, f"edge long, first_doc {doc_type}, first_row int, first_pos int, head int"), "paths")
-
-
-def _spans(batches):
-    """Neighbouring places of one path at one distance make a span: its first word and number of windows."""
-    for pdf in batches:
-        out = []
-        for doc, row, places in zip(pdf["doc"], pdf["row"], pdf["places"]):
-            t = sorted((p["first_doc"], p["first_row"], p["head"], p["pos"] - p["first_pos"], p["pos"]) for p in places)
-            last = None
-            for first_doc, first_row, head, shift, pos in t:
-                if last is not None and last[2:6] == [first_doc, first_row, head, shift] and pos == last[6] + last[7]:
-                    last[7] += 1
-                else:
-                    last = [doc, row, first_doc, first_row, head, shift, pos, 1]
-                    out.append(last)
-        yield pd.DataFrame(out, columns=["doc", "row", "first_doc", "first_row", "head", "shift", "start", "n"])
+    ends = graph.select(F.col("target").alias("node"), F.lit(1).alias("enters")).unionAll(
+        graph.select(F.col("source").alias("node"), F.lit(0).alias("enters")))
+    through = (ends.groupBy("node").agg(F.sum("enters").alias("enters"), F.count("*").alias("both"))
+               .where("enters = 1 AND both = 2").select(F.col("node").alias("source"), F.lit(True).alias("through")))
+    linked = graph.join(through, "source", "left")
+    # along its first document a path goes on where the edge before ends in such a node
+    order = Window.partitionBy("first_doc", "first_row").orderBy("first_pos", "source", "target")
+    goes_on = (F.coalesce("through", F.lit(False)) & (F.lag("target").over(order) == F.col("source"))
+               & (F.lag("first_pos").over(order) + 1 == F.col("first_pos")))
+    marked = linked.withColumn("head", F.when(~F.coalesce(goes_on, F.lit(False)), F.col("first_pos")))
+    found = written(marked.withColumn("head", F.last("head", ignorenulls=True).over(order)).drop("through"), "paths")
+    discard(graph)
+    return found
+
+
+def spans_of(places: DataFrame) -> DataFrame:
+    """Neighbouring places of one path at one distance make a span: its first word and its number of windows."""
+    span = ["doc", "row", "first_doc", "first_row", "head", "shift"]
+    each = places.select("doc", "row", "first_doc", "first_row", "head", (F.col("pos") - F.col("first_pos")).alias("shift"), "pos")
+    island = F.col("pos") - F.dense_rank().over(Window.partitionBy(*span).orderBy("pos"))
+    return each.withColumn("island", island).groupBy(*span, "island").agg(
+        F.min("pos").alias("start"), (F.max("pos") - F.min("pos") + 1).alias("n")).drop("island")
 
 
 def _path_words(batches):
@@ -172,30 +139,31 @@ def _cut(batches):
 def cuts(rows: DataFrame, known: DataFrame) -> DataFrame:
     """(doc, row, n_removed, kept): for each text that loses words and is no exact copy, how many, and the rest."""
     doc_type = rows.schema["doc"].dataType.simpleString()
-    texts = candidates(rows, known, _minimizers)
-    edges = texts.mapInPandas(_edges, f"doc {doc_type}, row int, pos int, edge long, source long, target long")
+    texts = candidates(rows, known, windows)
+    edges = texts.mapInPandas(_edges, f"doc {doc_type}, row int, pos int, source long, target long")
     graph = paths(edges)
-    places = (edges.select("doc", "row", "pos", "edge").join(graph, "edge").where("doc > first_doc")
-              .groupBy("doc", "row").agg(F.collect_set(
-                  F.struct("pos", "first_doc", "first_row", "first_pos", "head")).alias("places")))
-    spans = written(places.mapInPandas(
-        _spans, f"doc {doc_type}, row int, first_doc {doc_type}, first_row int, head int, shift int, start int, n int"), "spans")
+    spans = written(spans_of(edges.join(graph, ["source", "target"]).where("doc > first_doc")), "spans")
+    discard(graph)
     asked = (spans.groupBy("first_doc", "first_row", "head")
              .agg(F.max(F.expr("start - shift + n - 1")).alias("stop"))
              .groupBy(F.col("first_doc").alias("doc"), F.col("first_row").alias("row"))
              .agg(F.collect_list(F.struct("head", "stop")).alias("asked")))
-    sources = texts.select("doc", "row", "text").join(asked, ["doc", "row"]).dropDuplicates(["doc", "row"]).mapInPandas(
+    sources = texts.select("doc", "row", "text").join(asked, ["doc", "row"]).mapInPandas(
         _path_words, f"first_doc {doc_type}, first_row int, head int, words binary")
     told = (spans.join(sources, ["first_doc", "first_row", "head"])
             .groupBy("doc", "row").agg(F.collect_list(F.struct("head", "shift", "start", "n", "words")).alias("spans")))
-    return texts.select("doc", "row", "text").join(told, ["doc", "row"]).mapInPandas(
-        _cut, f"doc {doc_type}, row int, n_removed long, kept string").dropDuplicates(["doc", "row"])
+    return texts.select("doc", "row", "text").join(written(told, "told"), ["doc", "row"]).mapInPandas(
+        _cut, f"doc {doc_type}, row int, n_removed long, kept string")
 
 
-@F.pandas_udf(T.StructType([T.StructField("n", T.LongType()), T.StructField("digest", T.StringType())]))
-def _whole(texts: pd.Series) -> pd.DataFrame:
-    words = [split(t) for t in texts]
-    return pd.DataFrame({"n": [len(w) for w in words], "digest": [_digest(w) for w in words]})
+def normal(text: Column) -> Column:
+    """The words of ``text``, joined by single spaces."""
+    return F.trim(F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", " "))
+
+
+def count(normal_text: Column) -> Column:
+    return F.when(normal_text == "", F.lit(0)).otherwise(
+        F.length(normal_text) - F.length(F.replace(normal_text, F.lit(" "), F.lit(""))) + 1).cast("long")
 
 
 def span_report(docs: DataFrame) -> DataFrame:
@@ -208,13 +176,14 @@ def span_report(docs: DataFrame) -> DataFrame:
     rows = keyed(docs)
     known = copies(rows)
     cut = cuts(rows, known).select("doc", "row", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
-    whole = rows.select("doc", "row", _whole("text").alias("whole"))
+    whole = (rows.select("doc", "row", normal(F.col("text")).alias("words"))
+             .select("doc", "row", count(F.col("words")).alias("n"), F.sha2("words", 256).alias("digest")))
     copied = known.where("doc > first").select("doc", "row", F.lit(True).alias("copied"))
-    gone = F.coalesce("copied", F.lit(False)) & (F.col("whole.n") >= WINDOW)
+    gone = F.coalesce("copied", F.lit(False)) & (F.col("n") >= WINDOW)
     return (whole.join(copied, ["doc", "row"], "left").join(cut, ["doc", "row"], "left").select(
-        F.col("doc").alias("doc_id"), F.col("whole.n").alias("n_words"),
-        F.when(gone, F.col("whole.n")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
-        F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "whole.digest")).alias("kept_sha256")))
+        F.col("doc").alias("doc_id"), F.col("n").alias("n_words"),
+        F.when(gone, F.col("n")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
+        F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "digest")).alias("kept_sha256")))
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -231,7 +200,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                .join(cut.select("doc", "row", F.col("kept").alias(names["kept"])), ["doc", "row"], "full")
                .withColumnRenamed("row", names["row"]).withColumnRenamed("doc", free_name(docs, "doc")))
     numbered = docs.withColumns({names["row"]: F.hash(text_or_empty(text)), free_name(docs, "doc"): quoted(key)})
-    long_enough = F.size(F.split(F.trim(text_or_empty(text), F.lit(" \t\n\x0b\x0c\r")), "[\\x20\\x09-\\x0D]+")) >= WINDOW
+    long_enough = count(normal(text_or_empty(text))) >= WINDOW
     new = (F.when(quoted(names["copied"]) & long_enough, F.lit(""))
            .when(quoted(names["kept"]).isNotNull(), quoted(names["kept"])).otherwise(quoted(text)))
     joined = numbered.join(changed, [free_name(docs, "doc"), names["row"]], "left")
