@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablescope.llm.blocks import Block, leaf_blocks
-from tablescope.llm.frames import quoted, text_or_empty
+from tablescope.llm.frames import few_by_hash, quoted, text_or_empty
 
 PATH_SIZE, WORD_SIZE, SHAPE_SIZE = 96, 48, 4
 INPUT = PATH_SIZE + WORD_SIZE + SHAPE_SIZE
@@ -311,8 +311,8 @@ def examples(texts: list[str], n: int = EXAMPLES, seed: int = SEED) -> list[tupl
 
 def fit(pages: DataFrame, column: str = "html") -> Labeller:
     """A labeller whose examples are filled with the texts of SAMPLE_PAGES pages, those with the smallest hashes."""
-    rows = (pages.select(quoted(column).cast("string").alias("html")).where("html IS NOT NULL")
-            .orderBy(F.xxhash64("html")).limit(SAMPLE_PAGES).collect())
+    filled = pages.select(quoted(column).cast("string").alias("html")).where("html IS NOT NULL")
+    rows = few_by_hash(filled, ["html"], SAMPLE_PAGES, filled.count()).collect()
     return train(examples([b.text[:SAMPLE_CHARS] for r in rows for b in leaf_blocks(r["html"]) if len(b.text) > 40]))
 
 

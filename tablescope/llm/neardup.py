@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablescope.llm.frames import free_name, quoted, text_or_empty, written
+from tablescope.llm.frames import few_by_hash, free_name, quoted, text_or_empty, written
 
 MAX_BITS = 3
 HALF_RADIUS = MAX_BITS // 2
@@ -160,7 +160,7 @@ def links(prints: DataFrame, rows: int, column: str = "fp") -> DataFrame:
     ``prints`` has each fingerprint once, ``rows`` of them. No leaf yields more links
     than it has members, whatever the number of pairs in it.
     """
-    sample = prints.orderBy(F.xxhash64(column), column).limit(SAMPLE).toPandas()[column].to_numpy(np.int64)
+    sample = few_by_hash(prints, [column], SAMPLE, rows).toPandas()[column].to_numpy(np.int64)
     if len(sample) < 2:
         return prints.select(F.col(column).alias("a"), F.col(column).alias("b")).limit(0)
     share = max(8, SHARD_ROWS * len(sample) // max(rows, 1))

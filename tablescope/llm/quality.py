@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablescope.llm.frames import free_name, quoted, text_or_empty, written
+from tablescope.llm.frames import few_by_hash, free_name, quoted, text_or_empty, written
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 STATISTICS = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS])
@@ -212,10 +212,10 @@ def fit(df: DataFrame, labels: DataFrame | None, name: str = "rules", key: str =
         known = usable.join(truth, "key")
         if known.isEmpty():
             known = usable.withColumn("good", F.lit(None).cast("int"))
-    sample = (known.orderBy(F.xxhash64("key", "stats"), "stats").limit(SAMPLE_ROWS)
-              .select("stats.*", "good").toPandas())
-    if sample.empty:
+    rows = known.count()
+    if not rows:
         return None
+    sample = few_by_hash(known, ["key", "stats"], SAMPLE_ROWS, rows).select("stats.*", "good").toPandas()
     forest = grow(features(sample), (sample["good"] == 0).to_numpy())
     steps = (known.where("good IN (0, 1)")
              .groupBy(F.floor(_scores(forest)("stats") * SCORE_STEPS).alias("step"))
