@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablescope.llm.frames import discard, quoted, text_or_empty, written
+from tablescope.llm.frames import MADE, discard, quoted, text_or_empty, written
 from tablescope.session import new_path
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -129,9 +129,10 @@ def candidates(rows: DataFrame, known: DataFrame, windows: Callable[[list[str]],
     discard(shared)
     wanted = known.where("doc = first").select("doc", "row").join(lists, "doc")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"candidates_{uuid.uuid4().hex}"
+    name, path = f"candidates_{uuid.uuid4().hex}", new_path(spark, "candidates")
     (rows.dropDuplicates(["doc", "row"]).join(wanted, ["doc", "row"]).write.format("parquet")
-     .bucketBy(buckets, "doc", "row").option("path", new_path(spark, "candidates")).saveAsTable(name))
+     .option("compression", "zstd").bucketBy(buckets, "doc", "row").option("path", path).saveAsTable(name))
+    MADE.append(path)
     spark.sparkContext._jvm.System.gc()
     discard(lists)
     return spark.table(name)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.session import materialize
+from tablescope.session import new_path
+
+#: Folders of the tables that ``written`` has made, in order.
+MADE: list[str] = []
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -15,17 +18,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     forgets them at its next garbage collection, which is asked for here, so that the
     executors' disks hold one step's shuffles at a time and not all of them.
     """
-    table = materialize(df, name)
+    path = new_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    MADE.append(path)
     df.sparkSession.sparkContext._jvm.System.gc()
-    return table
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def discard(table: DataFrame) -> None:
     """Delete the files of a ``written`` table that nothing will read again."""
-    jvm, files = table.sparkSession.sparkContext._jvm, table.inputFiles()
-    if files:
-        folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        folder.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+    if files := table.inputFiles():
+        discard_folder(table.sparkSession, files[0].rpartition("/")[0])
+
+
+def discard_folder(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
 def quoted(name: str) -> Column:
