@@ -103,12 +103,15 @@ def pack(size: list[int], length: int = LENGTH) -> list[list[int]]:
     items, room = bins.items, bins.room
     least = -(-sum(size) // length)
     alive = len(items)
-    under = sorted((b for b in range(len(items)) if room[b]), key=lambda b: room[b])
-    while alive > least and under:
-        victim = under.pop()  # the emptiest
-        if _empty(victim, under, items, room, size):
-            alive -= 1
-        under = sorted((b for b in under if room[b]), key=lambda b: room[b])
+    fill = -1
+    while alive > least and fill < (now := sum((length - r) ** 2 for r in room)):  # again, as long as a round helps
+        fill = now
+        under = sorted((b for b in range(len(items)) if items[b] and room[b]), key=lambda b: room[b])
+        while alive > least and under:
+            victim = under.pop()  # the emptiest
+            if _empty(victim, under, items, room, size):
+                alive -= 1
+            under = sorted((b for b in under if room[b]), key=lambda b: room[b])
     return [x for x in items if x]
 
 
