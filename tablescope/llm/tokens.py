@@ -20,8 +20,8 @@ REMEMBERED = 600_000
 #: Characters of texts encoded together.
 TOGETHER = 500_000
 #: Words of plain Latin letters, and ASCII marks (but the apostrophe), which are split from letters.
-_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
-_LINES = re.compile(r"(?:[A-Za-zÀ-ÖØ-öø-ɏ]+[!-&(-/:-@\[-`{-~]*\n)+[A-Za-zÀ-ÖØ-öø-ɏ]+[!-&(-/:-@\[-`{-~]*")
+_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
+_LINES = re.compile(r"(?:[A-Za-zÀ-ÖØ-öø-įı-ɏ]+[!-&(-/:-@\[-`{-~]*\n)+[A-Za-zÀ-ÖØ-öø-įı-ɏ]+[!-&(-/:-@\[-`{-~]*")
 _SAFE_SPACE = re.compile(r"(?<!\s) (?=\S)")
 #: Spaces that may belong to a run of white space.
 _RUN = re.compile(r"\s \s|^ | $")
