@@ -170,14 +170,14 @@ def grow(x: np.ndarray, bad: np.ndarray | None = None, trees: int = TREES, seed:
         todo = [(0, 0, x[chosen])]
         while todo:
             node, level, part = todo.pop()
-            low, high = part.min(axis=0), part.max(axis=0)
-            wide = np.flatnonzero(high > low)
+            least, most = part.min(axis=0), part.max(axis=0)
+            wide = np.flatnonzero(most > least)
             if level == limit or not len(wide):
                 depth[t, node] = level + _mean_path(len(part))
                 continue
             f = int(rng.choice(wide))
-            c = rng.uniform(low[f], high[f])
-            c = c if c > low[f] else high[f]
+            c = rng.uniform(least[f], most[f])
+            c = c if c > least[f] else most[f]
             feature[t, node], cut[t, node] = f, c
             right = part[:, f] >= c
             todo += [(2 * node + 1, level + 1, part[~right]), (2 * node + 2, level + 1, part[right])]

@@ -58,6 +58,28 @@ def test_forest_rejects_odd_rows_and_keeps_good_ones(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, k in got.items() if k)
 
 
+def test_forest_keeps_the_bounds_it_was_grown_with():
+    rng = np.random.default_rng(2)
+    x = np.column_stack([rng.normal(5, 0.5, 3000), rng.random((3000, 3)) * 0.01])
+    bad = np.arange(3000) % 100 == 0
+    x[bad, 0] = np.where(np.arange(30) % 2, 30, 1)
+    forest = quality.grow(x, bad)
+    assert np.array_equal(forest.low, np.quantile(x[~bad], quality.TAIL, axis=0, method="lower"))
+    assert np.array_equal(forest.high, np.quantile(x[~bad], 1 - quality.TAIL, axis=0, method="higher"))
+    usual, *odd = forest.score(np.array([[n, 0.005, 0.005, 0.005] for n in (5, 1, 40)], float))
+    assert min(odd) > usual + 0.1
+
+
+def test_texts_odd_in_word_length_only_go(spark):
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefgh"), rng.integers(2, 8))) for _ in range(500)]
+    rows = [(i, " ".join(str(w) * (9 if i % 12 == 0 else 1) for w in rng.choice(words, 80))) for i in range(600)]
+    marks = spark.createDataFrame([(i, int(i % 12 > 0), 0) for i in range(0, 600, 2)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.kept for r in quality.quality_report(frame(spark, rows), marks).collect()}
+    assert not any(got[i] for i in range(0, 600, 12))
+    assert sum(got[i] for i in got if i % 12) >= 0.99 * 550
+
+
 def test_a_threshold_needs_both_labels():
     steps = [{"step": 1500, "good": 0, "bad": 5}, {"step": 1000, "good": 900, "bad": 1}]
     assert quality.threshold(steps) == 0.75
