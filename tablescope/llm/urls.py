@@ -1,8 +1,8 @@
 """URL filters: rules, and for the rest a tree of path templates for each host.
 
-Level by level, a segment that is rare under its parent becomes a wildcard, and a
-branch whose share of bad labels does not differ from its siblings' is merged into
-the wildcard too. A template is rejected if its smoothed share of good labels is too
+Level by level, as deep as the paths go, a segment with few pages becomes a wildcard,
+and a branch whose share of bad labels does not differ from its siblings' is merged
+into the wildcard too. A template is rejected if its smoothed share of good labels is too
 low. Only counts of distinct paths are shuffled, so a host with a third of all
 pages is as many rows as it has paths, and these are counted in many tasks.
 """
@@ -17,11 +17,10 @@ from tablescope.llm.frames import quoted, written
 #: (verdict, host, path): hold for the host and its subdomains, where the path starts so.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
          ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-#: Levels of a tree; what is deeper is one wildcard.
+#: Levels after which a template's last wildcards are shown as one; they are told apart all the same.
 LEVELS = 8
-#: A segment stays as it is with so many pages, and with this share of its parent's.
+#: A segment stays as it is with so many pages.
 LEAST_PAGES = 20
-LEAST_SHARE = 0.01
 #: Standard errors between a branch's share of bad labels and its siblings' that keep it apart.
 APART = 2.0
 #: Labels that the share of all labels counts for in a template's own share, and the share of good ones it needs.
@@ -51,30 +50,42 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def templates(paths: DataFrame) -> DataFrame:
-    """``paths`` (host, path, n, good, bad; each path of a host once) with the template that each path falls under."""
+    """``paths`` (host, path, n, good, bad; each path of a host once) with the template that each path falls under.
+
+    Below a parent without both kinds of labels, or with too few pages, no segment can
+    stay; once there are only such parents, all that is deeper is wildcards.
+    """
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
     table = paths.withColumn("segments", segments).withColumn("template", F.lit(""))
-    depth = table.agg(F.max(F.size("segments"))).first()[0] or 0
-    for level in range(min(depth, LEVELS)):
+    level = 0
+    while True:
         table = written(table.withColumn("segment", F.get("segments", F.lit(level))), "templates")
         here = table.where("segment IS NOT NULL")
         children = here.groupBy("host", "template", "segment").agg(*[F.sum(c).alias(c) for c in ("n", "good", "bad")])
         parents = here.groupBy("host", "template").agg(*[F.sum(c).alias(f"all_{c}") for c in ("n", "good", "bad")])
+        if parents.where((F.col("all_n") >= LEAST_PAGES) & (F.col("all_good") > 0) & (F.col("all_bad") > 0)).isEmpty():
+            break
         own, all_labels = F.col("good") + F.col("bad"), F.col("all_good") + F.col("all_bad")
         others = all_labels - own
         share = F.col("all_bad") / all_labels
         error = F.sqrt(share * (1 - share) * (1 / own + 1 / others))
         distance = F.abs(F.col("bad") / own - (F.col("all_bad") - F.col("bad")) / others)
         differs = F.when((own > 0) & (others > 0) & (share > 0) & (share < 1), distance > APART * error).otherwise(False)
-        common = (F.col("n") >= LEAST_PAGES) & (F.col("n") >= LEAST_SHARE * F.col("all_n"))
+        common = F.col("n") >= LEAST_PAGES
         literal = (children.join(parents, ["host", "template"]).where(common & differs)
                    .select("host", "template", "segment", F.lit(True).alias("literal")))
         step = F.when(F.col("segment").isNull(), F.lit("")).otherwise(
             F.concat(F.lit("/"), F.when(F.col("literal"), F.col("segment")).otherwise(F.lit(ANY))))
         table = table.join(literal, ["host", "template", "segment"], "left").withColumn(
             "template", F.concat("template", step)).drop("segment", "literal")
-    deeper = F.when(F.size("segments") > LEVELS, F.lit("/" + REST)).otherwise(F.lit(""))
-    return written(table.withColumn("template", F.concat("template", deeper)).drop("segments"), "templates")
+        level += 1
+    deeper = F.repeat(F.lit("/" + ANY), F.greatest(F.size("segments") - level, F.lit(0)))
+    return written(table.withColumn("template", F.concat("template", deeper)).drop("segments", "segment"), "templates")
+
+
+def shown(template: Column) -> Column:
+    """Wildcards at the end of ``template`` below LEVELS as one."""
+    return F.regexp_replace(template, r"^((?:/[^/]*){%d})(?:/\*)+$" % LEVELS, "$1/" + REST)
 
 
 def judged(pages: DataFrame, labels: DataFrame | None, key: str = "page_id") -> DataFrame:
@@ -104,4 +115,5 @@ def judged(pages: DataFrame, labels: DataFrame | None, key: str = "page_id") ->
         "host", "path", "template", F.when(F.col("purity") < PURITY, F.lit("block")).otherwise(F.lit("allow")).alias("learned"))
     rule, decided = rule_of(F.col("host"), F.col("path"))
     return cut.join(verdicts, ["host", "path"]).select(
-        "page_id", "host", "path", rule.alias("rule"), F.coalesce(decided, F.col("learned")).alias("verdict"), "template")
+        "page_id", "host", "path", rule.alias("rule"), F.coalesce(decided, F.col("learned")).alias("verdict"),
+        shown(F.col("template")).alias("template"))

@@ -197,6 +197,19 @@ def test_templates_keep_apart_what_is_labelled_apart(spark):
     assert urls.judged(spark.createDataFrame([], "page_id long, url string"), labels).collect() == []
 
 
+def test_branches_are_judged_alike_on_large_hosts_and_at_any_depth(spark):
+    pages = [(i, f"http://small.net/{('news', 'spam')[i % 2]}/{i}") for i in range(80)]
+    pages += [(1000 + i, f"http://large.net/{'spam' if i < 40 else f's{i // 40}'}/{i}") for i in range(6000)]
+    deep = "/".join("abcdefghij")
+    pages += [(8000 + i, f"http://deep.net/{deep}/{('news', 'spam')[i % 2]}/{i}") for i in range(200)]
+    spam = {k for k, u in pages if "/spam/" in u}
+    labels = spark.createDataFrame([(k, int(k not in spam), 0) for k, _ in pages], "doc_id long, quality int, toxic int")
+    got = urls.judged(spark.createDataFrame(pages, "page_id long, url string"), labels).collect()
+    assert {r.page_id for r in got if r.verdict == "block"} == spam
+    assert {r.template for r in got if r.host == "large.net"} == {"/spam/*", "/*/*"}
+    assert {r.template for r in got if r.host == "deep.net"} == {"/*" * 10 + "/news/*", "/*" * 10 + "/spam/*"}
+
+
 def test_blocks_of_untidy_markup():
     page = ("<html><head><title>no</title><style>p{}</style></head><body><!-- <p>no</p> --><script>if (a<b) '<p>no</p>'</script>"
             "<div class='a b_c'>one &amp; <b>two<p>three<br>four <a href=x>link</a><p>5 &lt; 6 a<b</div><ul><li>x<li>y</ul></body>")
