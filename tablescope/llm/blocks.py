@@ -7,8 +7,10 @@ import re
 from dataclasses import dataclass
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|select|iframe|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)(?=[\s/>])(?!(?<=style|title)[^>]*/>)[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S | re.I)
+#: Tags whose text is none of the page's if they are closed; others are tags like any, which end with the one around them.
+_HIDDEN = frozenset("noscript template svg select iframe".split())
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
 #: Tags that a block does not end at.
@@ -31,6 +33,29 @@ class Block:
     links: int  # characters of it inside links
 
 
+def _hidden_ends(tokens: list[re.Match]) -> dict[int, int]:
+    """For each hidden tag that is closed before the tag around it is, the token after its closing tag."""
+    ends: dict[int, int] = {}
+    opened: list[tuple[str, int]] = []
+    places: dict[str, int] = {}  # how many of a name are open
+    for at, m in enumerate(tokens):
+        tag = (m[3] or "").lower()
+        if not tag or tag in VOID:
+            continue
+        if m[2]:
+            while places.get(tag):
+                name, start = opened.pop()
+                places[name] -= 1
+                if name == tag:
+                    if name in _HIDDEN:
+                        ends[start] = at + 1
+                    break
+        elif tag != "svg" or not m[4].endswith("/"):
+            opened.append((tag, at))
+            places[tag] = places.get(tag, 0) + 1
+    return ends
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """All blocks with text in page order; markup, scripts, styles, comments and the head's title are none."""
     stack: list[tuple[str, tuple[str, ...]]] = []
@@ -46,8 +71,16 @@ def leaf_blocks(page: str) -> list[Block]:
         parts.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(page):
+    tokens = list(_TOKEN.finditer(page))
+    ends = _hidden_ends(tokens)
+    past = 0
+    for at, m in enumerate(tokens):
+        if at < past:
+            continue
         token, tag = m[0], (m[3] or "").lower()
+        if at in ends:
+            past = ends[at]
+            continue
         if token[0] != "<" or token == "<":
             parts.append(token)
             linked += len(token) if in_link else 0

@@ -220,6 +220,16 @@ def test_blocks_of_untidy_markup():
     assert leaf_blocks("") == []
 
 
+@pytest.mark.parametrize("odd", [
+    "<svg class='i'/>", "<svg><title/><style/></svg>", "<div><select><option></div>", "<div><template></div>", "<div><noscript></div>",
+    "<div><svg><g></div>", "<div><iframe></div>", "<title-bar></title-bar>", "<select-box>", "<template-card>", "<template>", "<select>",
+    "<svg>", "<noscript>", "<iframe>", "<svg><g>no</g></svg>", "<div><select><option>no<option>no</select></div>", "<svg><svg/>no</svg>",
+    "<noscript><p>no</p></noscript>", "<template><div>no</template>", "<script>no</script>", "<textarea>no</textarea>"])
+def test_odd_tags_hide_nothing_after_them(odd):
+    assert [b.text for b in leaf_blocks(f"<body><p>first</p>{odd}<article><p>one</p><p>two</p></article></body>")] == ["first", "one", "two"]
+    assert leaf_blocks("<body><title>no <p>no") == leaf_blocks("<style>no <p>no") == leaf_blocks("<script src=x>no <p>no") == []
+
+
 def test_labeller_on_layouts_it_has_not_seen(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     model = extraction.fit(pages)
