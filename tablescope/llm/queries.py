@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablescope.llm import bytespans, decontaminate, extraction, idfile, neardup, packing, quality, sharding, urls, wordspans
+from tablescope.llm import (
+    bytespans, decontaminate, extraction, idfile, infill, lines, neardup, packing, quality, ranking, sharding, urls, wordspans)
 from tablescope.session import new_path
 
 
@@ -57,6 +58,18 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(_table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.infill_report(_table(spark, sf_dir, "documents"))
+
+
+def op13_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_id_output": op1_token_id_output,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -68,10 +81,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_ranked_lexical_search": op13_ranked_lexical_search,
 }
 
 ORACLES: dict[str, str] = {
     "op5_suffix_array_dedup": bytespans.ORACLE,
     "op8_benchmark_decontamination": decontaminate.ORACLE,
     "op9_substring_dedup": wordspans.ORACLE,
+    "op11_line_dedup": lines.ORACLE,
+    "op12_fill_in_middle": infill.ORACLE,
+    "op13_ranked_lexical_search": ranking.ORACLE,
 }
