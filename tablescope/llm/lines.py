@@ -3,8 +3,7 @@
 Every line is normalised and hashed, the distinct documents of each hash are
 counted, lines over the threshold are found by their hash, and texts are put
 together again from the positions that stay. Only hashes, ids and positions are
-shuffled to count and to find; a text moves once, to meet the positions it loses,
-and not at all where Spark finds those small enough to broadcast.
+shuffled to count and to find; a text moves once, to meet the positions it loses.
 """
 
 from __future__ import annotations
@@ -100,7 +99,7 @@ def drop_common_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     names = [free_name(docs, n) for n in ("doc", "row", "gone")]
     doc, row, gone = map(F.col, names)
     both = docs.withColumn(names[1], F.xxhash64(text_or_empty(text))).join(
-        places.toDF(names[0], "_" + names[1], names[2]), (quoted(key) == doc) & (row == F.col("_" + names[1])), "left")
+        places.toDF(names[0], "_" + names[1], names[2]).hint("merge"), (quoted(key) == doc) & (row == F.col("_" + names[1])), "left")
     cut = F.when(gone.isNull(), quoted(text)).otherwise(without_places(text_lines(text), gone))
     extra = [F.size(text_lines(text)).cast("long").alias("n_lines"),
              F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_dropped")] if counts else []
