@@ -23,8 +23,8 @@ from tablescope.llm.frames import quoted, text_or_empty
 
 #: Frequencies at which a level begins; the last level is open.
 LEVELS = np.array([1, 2, 3, 5, 9, 17], np.int64)
-PROBES = 5
-BITS_PER_TERM = 12
+PROBES = 8
+BITS_PER_TERM = 24
 BLOCK_ROWS = 1_024
 #: A block's slices take about this many bytes at most, so that blocks of long texts have fewer rows.
 BLOCK_BYTES = 2 << 20
