@@ -140,7 +140,10 @@ ACTIONS = {
     "duplicate_id": ("شناسه تکراری (بدون حذف)",
                      "شناسه‌های تکراری گزارش شدند اما رکوردها حذف نشدند، "
                      "چون ممکن است اصلاحیه یا سفارش چندردیفی باشند."),
+    "date_order": ("ترتیب روز و ماه",
+                   "تاریخ‌های مبهم با {order} خوانده شدند: {day} تاریخ فقط با روز اول و {month} تاریخ فقط با ماه اول معنا دارد."),
 }
+DATE_ORDERS = {True: "روز اول", False: "ماه اول"}
 REJECTED_NUMBERS = " {count} مقدار غیرقابل تفسیر خالی در نظر گرفته شد."
 REJECTED_DATES = " {count} مقدار نامعتبر خالی در نظر گرفته شد."
 MERGE_PAIR = "«{wrong}» → «{right}»"

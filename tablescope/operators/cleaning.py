@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablescope import fixed_values as fv
-from tablescope.functions.dates import date_in_tidy, has_date_name
+from tablescope.functions.dates import AMBIGUOUS, FORMS, date_and_form, has_date_name
 from tablescope.functions.numbers import number_in_tidy
 from tablescope.functions.text import (
     compatible_forms, empty_to_null, has_hint, let, needs_nfkc, normalize_column_name, normalize_text,
@@ -40,6 +41,9 @@ class _TextStats:
     numbers: int = 0
     dates: int = 0
     labels: int = 0  # estimated distinct values
+    forms: int = 0  # a bit for each form of a date
+    month_first: int = 0  # dates that have only one order, and which
+    day_first: int = 0
 
 
 @dataclass
@@ -91,8 +95,8 @@ def clean_names(names: list[str]) -> list[str]:
 
 # --- statistics -------------------------------------------------------------
 
-def _two_step(df: DataFrame, conditions: dict[str, str], sketched: dict[str, str]):
-    """Rows per condition and estimated distinct values, all given as SQL.
+def _two_step(df: DataFrame, conditions: dict[str, str], sketched: dict[str, str], bits: dict[str, str]):
+    """Rows per condition, estimated distinct values and united bits, all given as SQL.
 
     Merged by many tasks before the last one, which would otherwise receive the
     sketches of every task of the scan.
@@ -100,10 +104,12 @@ def _two_step(df: DataFrame, conditions: dict[str, str], sketched: dict[str, str
     merger = F.pmod(F.spark_partition_id(), F.lit(_MERGERS)).alias("merger")
     partial = df.groupBy(merger).agg(
         *[F.expr(f"count_if({c}) as {n}") for n, c in conditions.items()],
-        *[F.expr(f"hll_sketch_agg({c}, 12) as {n}") for n, c in sketched.items()])
+        *[F.expr(f"hll_sketch_agg({c}, 12) as {n}") for n, c in sketched.items()],
+        *[F.expr(f"bit_or({c}) as {n}") for n, c in bits.items()])
     return partial.agg(
         *[F.expr(f"coalesce(sum({n}), 0) as {n}") for n in conditions],
-        *[F.expr(f"hll_sketch_estimate(hll_union_agg({n})) as {n}") for n in sketched]).first()
+        *[F.expr(f"hll_sketch_estimate(hll_union_agg({n})) as {n}") for n in sketched],
+        *[F.expr(f"bit_or({n}) as {n}") for n in bits]).first()
 
 
 def _text_stats(raw: DataFrame, positions: list[int], unicode_forms: bool, options: CleaningOptions,
@@ -115,12 +121,12 @@ def _text_stats(raw: DataFrame, positions: list[int], unicode_forms: bool, optio
 
     def look(cell):
         def judge(new):
-            return F.struct(
+            return let(date_and_form(new, options.strict_days, options.day_order == "day"), lambda date: F.struct(
                 new.alias("new"),
                 (F.coalesce(cell["old"], F.lit("")) != F.coalesce(new, F.lit(""))).alias("changed"),
                 needs_nfkc(cell["old"]).alias("odd"),
                 number_in_tidy(new, options.signed_thousands, options.decimal_style).isNotNull().alias("number"),
-                date_in_tidy(new, options.strict_days).isNotNull().alias("date"))
+                F.when(date["value"].isNotNull(), date["form"]).alias("form")))
         return let(empty_to_null(normalize_text(cell["text"], False)), judge)
 
     # One expression for the cells of all columns, so the plan stays small
@@ -134,9 +140,12 @@ def _text_stats(raw: DataFrame, positions: list[int], unicode_forms: bool, optio
         sums[f"changed{i}"] = f"seen[{k}].changed"
         sums[f"odd{i}"] = f"seen[{k}].odd"
         sums[f"numbers{i}"] = f"seen[{k}].number"
-        sums[f"dates{i}"] = f"seen[{k}].date"
-    row = _two_step(table, sums, {f"labels{i}": f"seen[{k}].new" for k, i in enumerate(positions)})
-    fields = ("filled", "changed", "odd", "numbers", "dates", "labels")
+        sums[f"dates{i}"] = f"seen[{k}].form is not null"
+        for order in ("month_first", "day_first"):
+            sums[f"{order}{i}"] = f"seen[{k}].form = {FORMS.index(order)}"
+    row = _two_step(table, sums, {f"labels{i}": f"seen[{k}].new" for k, i in enumerate(positions)},
+                    {f"forms{i}": f"shiftleft(1, seen[{k}].form)" for k, i in enumerate(positions)})
+    fields = [f.name for f in dataclasses.fields(_TextStats)]
     return {i: _TextStats(**{f: int(row[f"{f}{i}"] or 0) for f in fields}) for i in positions}, row
 
 
@@ -217,6 +226,8 @@ def compile_plan(df: DataFrame, options: CleaningOptions | None = None):
     if not isinstance(df, DataFrame):
         raise ValueError(fv.ERRORS["not_a_dataframe"])
     options = options or CleaningOptions()
+    if options.day_order not in ("month", "day", "counts"):
+        raise ValueError("day_order must be month, day or counts")
     old_names = list(df.columns)
     if not old_names:
         return CleaningPlan([], [], options), [], {}, {}, _TableStats()
@@ -244,9 +255,17 @@ def compile_plan(df: DataFrame, options: CleaningOptions | None = None):
             continue
         text = stats.text.get(i)
         kind = "as_is" if text is None else _kind(name, text, options)
-        plan.columns.append(ColumnDecision(name, i, kind, unicode_forms=bool(text and text.odd)))
+        decision = ColumnDecision(name, i, kind, unicode_forms=bool(text and text.odd))
+        plan.columns.append(decision)
         if text and text.changed:
             act(name, "text", text.changed)
+        if kind == "date":
+            decision.forms = [f for k, f in enumerate(FORMS) if text.forms >> k & 1]
+            decision.day_first = options.day_order == "day" or (
+                options.day_order == "counts" and text.day_first > text.month_first)
+            if options.day_order == "counts" and AMBIGUOUS in decision.forms:
+                act(name, "date_order", text.dates, day=text.day_first, month=text.month_first,
+                    order=fv.DATE_ORDERS[decision.day_first])
 
     def passed(d: ColumnDecision) -> int:
         text = stats.text[d.source]

@@ -38,6 +38,9 @@ class CleaningOptions:
     signed_thousands: bool = False
     decimal_style: str = "grouped"
     strict_days: bool = False
+    # Which comes first in dates such as 1/2/2026: "month", "day", or what more of the
+    # column's other dates say ("counts"; the month if that does not settle it).
+    day_order: str = "month"
     # True: all label columns; a list: only these; False: none.
     merge_labels: bool | list[str] = True
     min_label_ratio: float = fv.LABEL_RATIO
@@ -54,6 +57,8 @@ class ColumnDecision:
     unicode_forms: bool = False  # some rows need NFKC
     labels: dict[str, str] = field(default_factory=dict)
     nan_is_null: bool = False
+    forms: list[str] = field(default_factory=list)  # those that the dates were seen in
+    day_first: bool = False
 
 
 @dataclass
@@ -93,7 +98,7 @@ class CleaningPlan:
         if decision.kind == "number":
             return number_in_tidy(col, self.options.signed_thousands, self.options.decimal_style)
         if decision.kind == "date":
-            return date_in_tidy(col, self.options.strict_days)
+            return date_in_tidy(col, self.options.strict_days, decision.day_first, decision.forms)
         if decision.kind == "text":
             out = replace_labels(col, decision.labels)
             return F.nullif(out, F.lit("nan")) if decision.nan_is_null else out

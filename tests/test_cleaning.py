@@ -152,3 +152,19 @@ def test_result_does_not_depend_on_partitioning(spark, messy_sales, cleaned):
         assert sorted(map(str, again.data.collect())) == sorted(map(str, cleaned.data.collect()))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_order_of_day_and_month_by_counts(spark):
+    rows = [("1/2/2026", "1/2/2026"), ("25/2/2026", "2/25/2026"), ("26/2/2026", "2/26/2026"), ("2/27/2026", "27/2/2026"), ("3/4/26", "3/4/26")]
+    df = spark.createDataFrame(rows, "Start_Date string, End_Date string")
+    for order, first in (("month", [False, False]), ("day", [True, True]), ("counts", [True, False])):
+        result = clean_dataset(df, CleaningOptions(day_order=order, merge_labels=False))
+        assert [d.day_first for d in result.plan.columns] == first
+        assert set(result.plan.columns[0].forms) == {"month_or_day_first", "month_first", "day_first"}
+        days = [tuple(v.strftime("%d.%m") for v in r) for r in result.data.collect()]
+        assert sorted(days)[0] == tuple("01.02" if f else "02.01" for f in first)
+        assert [a.column for a in result.actions if a.action_code == "date_order"] == (["Start_Date", "End_Date"] if order == "counts" else [])
+        again = type(result.plan).from_json(result.plan.to_json())
+        assert sorted(again.apply(df).collect()) == sorted(result.data.collect())
+    with pytest.raises(ValueError):
+        clean_dataset(df, CleaningOptions(day_order="year"))

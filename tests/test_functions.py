@@ -116,6 +116,16 @@ DATES = {
     "2026-01-10 10:20:30": dt.datetime(2026, 1, 10, 10, 20, 30),
     "2026-01-10T10:20": dt.datetime(2026, 1, 10, 10, 20),
     "2026-01-10T10:20:30Z": dt.datetime(2026, 1, 10, 10, 20, 30),
+    "Mon, 05 Jan 2026": dt.datetime(2026, 1, 5), "Monday, January 5, 2026": dt.datetime(2026, 1, 5),
+    "Jan-05-2026": dt.datetime(2026, 1, 5), "2026-Jan-05": dt.datetime(2026, 1, 5), "2026 Jan 5": dt.datetime(2026, 1, 5),
+    "05Jan2026": dt.datetime(2026, 1, 5), "5th January 2026": dt.datetime(2026, 1, 5), "January 2026": dt.datetime(2026, 1, 1),
+    "Jan 2026": dt.datetime(2026, 1, 1), "1/5/2026 3 PM": dt.datetime(2026, 1, 5, 15), "3:30 PM 1/5/2026": dt.datetime(2026, 1, 5, 15, 30),
+    "Jan 5, 2026, 3:30 PM": dt.datetime(2026, 1, 5, 15, 30), "20260105T103000": dt.datetime(2026, 1, 5, 10, 30),
+    "20260105103000": dt.datetime(2026, 1, 5, 10, 30), "2026-01-05T10:30Z": dt.datetime(2026, 1, 5, 10, 30),
+    "1/5/2026 12:05 a.m.": dt.datetime(2026, 1, 5, 0, 5), "2026-01-10 10:20:30.25 +0330": dt.datetime(2026, 1, 10, 6, 50, 30, 250000),
+    "Sept 1st, 1999": dt.datetime(1999, 9, 1), "22:15 5 May 77": dt.datetime(1977, 5, 5, 22, 15), "Thu 1/1/70": dt.datetime(2070, 1, 1),
+    "13 PM 1/5/2026": None, "1/5/2026 13:00 PM": None, "1/5/2026 25:00": None, "Monday": None, "Marching 5 2026": None,
+    "5 | Jan 2026 10:20": None, "3 PM": None, "1405/02/31 10:20": None, "1677-12-31": None, "January": None,
     "2026-02-30": None, "14050228": None, "2000": None, "10:30": None, "800": None,
     "invalid": None, "": None, "1/2/3/2026": None, "Mayor 5 2026": None, "9999-01-01": None,
 }
@@ -126,6 +136,19 @@ def test_parse_dates(spark):
     assert got == DATES
 
 
+def test_seen_forms_change_no_result(spark):
+    for forms in (["year_first", "name_year"], ["month_or_day_first", "compact", "day_name_year"]):
+        got = column(spark, list(DATES), lambda c: dates.date_in_tidy(numbers.tidy(c), forms=forms))
+        assert dict(zip(DATES, got)) == DATES
+
+
+def test_day_first(spark):
+    known = {"01/02/2026": "2026-02-01", "1.2.26 3 PM": "2026-02-01", "01/13/2026": "2026-01-13", "13/01/2026": "2026-01-13",
+             "2026-01-02": "2026-01-02", "Jan 2 2026": "2026-01-02", "1405/02/31": "2026-05-21"}
+    got = column(spark, list(known), lambda c: dates.parse_dates(c, day_first=True).cast("date").cast("string"))
+    assert got == list(known.values())
+
+
 def test_jalali(spark):
     known = {"1404/1/1": "2025-03-21", "1405/2/31": "2026-05-21", "1403/12/30": "2025-03-20",
              "1399/12/30": "2021-03-20", "1357/11/22": "1979-02-11", "not a date": None}

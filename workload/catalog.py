@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from tablescope import fixed_values as fv
 from tablescope.functions import dates, numbers, text
 from tablescope.operators import dedupe, insights, kpis, profiling, quality, rollups, slicing
-from tablescope.operators.cleaning import clean_dataset, duplicate_ids
+from tablescope.operators.cleaning import clean_dataset, compile_plan, duplicate_ids
 from tablescope.operators.distinct import distinct_count_frame
 from tablescope.operators.quantiles import exact_quantiles
 from tablescope.pipeline import build_analysis
-from tablescope.plans import CleaningPlan
+from tablescope.plans import CleaningOptions, CleaningPlan
 from tablescope.session import materialize, new_path
 from tablescope.sources import load, read_csv, write_csv
 from tablescope.sources.loader import MALFORMED
@@ -147,6 +147,31 @@ def parse_written_dates(spark, sf):
                                           for c in ("us", "named", "compact", "month")])
 
 
+_WRITTEN_FORMS = (  # pattern, and how much of a moment it keeps
+    ("EEE, dd MMM yyyy", "day"), ("EEEE, MMMM d, yyyy", "day"), ("MMM-dd-yyyy", "day"), ("yyyy-MMM-dd", "day"),
+    ("yyyy MMM d", "day"), ("ddMMMyyyy", "day"), ("d'th' MMMM yyyy", "day"), ("MMMM yyyy", "month"), ("MMM yyyy", "month"),
+    ("M/d/yyyy h a", "hour"), ("h:mm a M/d/yyyy", "minute"), ("MMM d, yyyy, h:mm a", "minute"),
+    ("yyyyMMdd'T'HHmmss", "second"), ("yyyyMMddHHmmss", "second"), ("yyyy-MM-dd'T'HH:mm'Z'", "minute"))
+
+
+@query("written_date_forms", "SELECT event_id, " + ", ".join(
+    f"date_trunc('{unit}', ts)::TIMESTAMP AS form{i}" for i, (_, unit) in enumerate(_WRITTEN_FORMS)) + " FROM events")
+def written_date_forms(spark, sf):
+    """Each moment in fifteen written forms, read back."""
+    texts = v.table(spark, sf, "events").select("event_id", *[
+        F.date_format("ts", pattern).alias(f"form{i}") for i, (pattern, _) in enumerate(_WRITTEN_FORMS)])
+    return texts.select("event_id", *[dates.parse_dates(F.col(c)).alias(c) for c in texts.columns[1:]])
+
+
+@query("day_first_by_counts", 'SELECT o_orderkey, o_orderdate AS "Paid_Date", o_orderdate AS "Sent_Date" FROM orders')
+def day_first_by_counts(spark, sf):
+    """A column with the day and one with the month first; which one it is says what only fits one order."""
+    texts = v.table(spark, sf, "orders").select(
+        "o_orderkey", F.date_format("o_orderdate", "d/M/yyyy").alias("Paid_Date"), F.date_format("o_orderdate", "M/d/yyyy").alias("Sent_Date"))
+    plan = compile_plan(texts, CleaningOptions(day_order="counts"))[0]
+    return plan.apply(texts)
+
+
 @query("parse_timestamps", "SELECT event_id, date_trunc('second', ts) AS ts FROM events")
 def parse_timestamps(spark, sf):
     written = v.table(spark, sf, "events").select(
