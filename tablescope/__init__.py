@@ -10,9 +10,10 @@ from tablescope.pipeline import AnalysisBundle, build_analysis
 from tablescope.plans import CleaningAction, CleaningOptions, CleaningPlan, ColumnProfile, Profile
 from tablescope.session import configure
 from tablescope.sources import load, load_file
+from tablescope.store import AnalysisStore
 
 __all__ = [
-    "AnalysisBundle", "CleaningAction", "CleaningOptions", "CleaningPlan", "CleaningResult",
+    "AnalysisBundle", "AnalysisStore", "CleaningAction", "CleaningOptions", "CleaningPlan", "CleaningResult",
     "ColumnProfile", "Profile", "analyze_dataset", "assess_quality", "build_analysis",
     "calculate_kpis", "clean_dataset", "compile_plan", "configure", "create_charts",
     "generate_insights", "load", "load_file", "profile_dataset",
