@@ -13,10 +13,14 @@ from pyspark.sql import types as T
 
 from tablescope import fixed_values as fv
 from tablescope.operators.distinct import quoted
+from tablescope.sources.records import csv_records
 
 SEPARATORS = (",", ";", "\t", "|")
 # A field that begins with a quote which its line does not close; a quote inside a field is none.
-_OPEN_FIELD = r'(?:^|[,;\t|])"(?:[^"]|"")*$'
+_OPEN_FIELD = r'(?:^|[,;\t|])"[^"]*+(?:""[^"]*+)*+$'
+# A pattern of that kind goes one call deeper for each doubled quote, so lines with more quotes
+# count as open unseen. Such files are read by csv_records, which is right for closed fields too.
+_MOST_QUOTES = 1000
 MALFORMED = "__malformed"
 _WHOLE = r"^[-+]?\d{1,18}$"
 _REAL = r"^[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?$"
@@ -39,7 +43,8 @@ def _dialects(spark: SparkSession, path):
     counted = lines.select(
         "*", *[(F.length(bare) - F.length(F.replace(bare, F.lit(s), F.lit("")))).alias(f"s{i}")
                for i, s in enumerate(SEPARATORS)],
-        F.col("value").rlike(_OPEN_FIELD).alias("open"))
+        ((F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))) > _MOST_QUOTES)
+         | F.col("value").rlike(_OPEN_FIELD)).alias("open"))
     files = counted.groupBy("file").agg(
         F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
         F.bool_or("open").alias("multiline"),
@@ -87,14 +92,17 @@ def read_csv(spark: SparkSession, path, legacy_encoding: str = "windows-1256") -
         raise ValueError(fv.ERRORS["no_rows"])
     out = None
     for (encoding, separator, multiline, names), files in sorted(groups.items()):
-        if encoding != "UTF-8":
-            # Spark refuses charsets outside its short list without this, also when the rows
-            # are read later, so it stays on.
-            spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-        part = spark.read.csv(
-            files, header=True, sep=separator, encoding=encoding, multiLine=multiline, quote='"', escape='"',
-            mode="PERMISSIVE", columnNameOfCorruptRecord=MALFORMED,
-            schema=T.StructType([T.StructField(n, T.StringType()) for n in (*names, MALFORMED)]))
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, MALFORMED)])
+        options = {"sep": separator, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": MALFORMED}
+        if multiline:
+            ddl = ", ".join("`" + n.replace("`", "``") + "` string" for n in schema.names)
+            part = csv_records(spark, files, separator, encoding).select(F.from_csv("record", ddl, options).alias("row")).select("row.*")
+        else:
+            if encoding != "UTF-8":
+                # Spark refuses charsets outside its short list without this, also when the rows
+                # are read later, so it stays on.
+                spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+            part = spark.read.csv(files, header=True, encoding=encoding, schema=schema, **options)
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 

@@ -311,6 +311,24 @@ def csv_round_trip(spark, sf):
     return back.withColumn("Order_Date", F.to_date("Order_Date"))
 
 
+@query("csv_lines_in_quotes", """
+  SELECT doc_id, CASE WHEN length(coalesce(text, '')) > 0 THEN text END AS text, lang, source, n_chars FROM documents""")
+def csv_lines_in_quotes(spark, sf):
+    """The documents as CSV with their line ends in quotes, read back by many tasks."""
+    path = new_path(spark, "documents") + ".csv"
+    docs = v.table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    docs.coalesce(1).write.csv(path, header=True, quote='"', escape='"', quoteAll=True, emptyValue="", nullValue="")
+    key, limit = "spark.sql.files.maxPartitionBytes", 1 << 20  # parts of this small file, as a large one has them
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(limit))
+    try:
+        back = materialize(read_csv(spark, path).drop(MALFORMED), "records")
+    finally:
+        spark.conf.set(key, before)
+    return back.select(F.col("doc_id").cast("long"), F.when(F.col("text") != "", F.col("text")).alias("text"), "lang", "source",
+                       F.col("n_chars").cast("long"))
+
+
 @query("load_parquet", "SELECT * FROM customer")
 def load_parquet(spark, sf):
     v.table(spark, sf, "customer")
