@@ -7,7 +7,8 @@ from workload import check, views
 SF = "/root/testdata/sf0.01"
 QUICK = ["monthly_growth", "kpi_totals", "kpi_best", "kpi_report", "trend_quarter", "trend_week", "top10_product",
          "share_other_nation", "hist_price", "insights", "value_checks_events", "column_summary", "parse_money",
-         "parse_dates", "dedupe_documents", "duplicate_ids", "clean_audit"]
+         "parse_dates", "dedupe_documents", "duplicate_ids", "clean_audit", "day_first_by_counts", "csv_lines_in_quotes",
+         "flawed_issues", "flawed_insights", "load_with_gaps", "rejected_inputs", "blank_cells", "column_names_and_typos"]
 
 
 @pytest.fixture(scope="module")

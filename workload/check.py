@@ -11,7 +11,7 @@ import duckdb
 from pyspark.sql import SparkSession
 
 from tablescope.session import configure
-from workload import catalog
+from workload import catalog, flaws  # noqa: F401 - flaws adds its queries to the catalog
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
