@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablescope.llm.frames import free_name, quoted, text_or_empty, written
@@ -88,13 +88,12 @@ def row_key(df: DataFrame) -> list[Column]:
     return [F.xxhash64(quoted("doc_id"), text).alias("key"), F.hash(text, quoted("doc_id"), F.length(text)).alias("key2")]
 
 
-def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(key, key2, item_id, start, n): every place of a document where a benchmark window stands."""
-    windows = benchmark_windows(benchmark)
+def hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """(key, key2, window, start, n): every place of a document where one of ``windows`` (window, n, hash, words) stands."""
     lengths = _lengths(windows)
     found = docs.select(*row_key(docs), words(text_or_empty()).alias("words"))
     if not lengths:
-        return found.select("key", "key2", F.lit("").alias("item_id"), F.lit(0).alias("start"), F.lit(0).alias("n")).limit(0)
+        return found.select("key", "key2", F.lit(0).cast("long").alias("window"), F.lit(0).alias("start"), F.lit(0).alias("n")).limit(0)
     hashed = with_hashes(found, lengths).select("key", "key2", "words", *[f"h{k}" for k in lengths])
     size, before = F.size("words"), F.lit(0)
     n, start = F.lit(lengths[-1]), F.col("at")
@@ -108,30 +107,37 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     passes = -(-windows.count() // PASS_WINDOWS)
     parts = []
     for p in range(passes):
-        few = windows.where(F.pmod(F.xxhash64("hash"), F.lit(passes)) == p).select(
-            "item_id", F.col("hash").alias("b_hash"), F.col("n").alias("b_n"), F.col("words").alias("b_words"))
+        # every window is there once, so a pass holds about PASS_WINDOWS however many items share one
+        few = windows.where(F.pmod(F.xxhash64("hash", "window"), F.lit(passes)) == p).select(
+            "window", F.col("hash").alias("b_hash"), F.col("n").alias("b_n"), F.col("words").alias("b_words"))
         same = (F.col("hash") == F.col("b_hash")) & (F.col("n") == F.col("b_n")) & (
             F.array_join(F.slice("words", F.col("start") + 1, F.col("n")), " ") == F.array_join("b_words", " "))
-        parts.append(spread.join(F.broadcast(few), same).select("key", "key2", "item_id", "start", "n"))
+        parts.append(spread.join(F.broadcast(few), same).select("key", "key2", "window", "start", "n"))
     return reduce(DataFrame.unionAll, parts)
 
 
-def spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(key, key2, spans, items) of each document with a hit: merged word spans and the sorted item ids."""
-    each = hits(docs, benchmark).groupBy("key", "key2", "start").agg(
-        F.max("n").alias("n"), F.collect_set("item_id").alias("items"))
-    whole = each.groupBy("key", "key2").agg(
-        F.array_sort(F.collect_list(F.struct("start", F.expr("start + n").alias("stop")))).alias("places"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    merged = F.aggregate(
-        "places", F.expr("CAST(array() AS array<struct<start: int, stop: int>>)"),
-        lambda done, x: F.when(
-            (F.size(done) > 0) & (F.element_at(done, -1)["stop"] >= x["start"]),
-            F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(
-                F.element_at(done, -1)["start"].alias("start"),
-                F.greatest(F.element_at(done, -1)["stop"], x["stop"]).alias("stop")))))
-        .otherwise(F.concat(done, F.array(F.struct(x["start"].alias("start"), x["stop"].alias("stop"))))))
-    return whole.withColumn("spans", merged).drop("places")
+def spans(docs: DataFrame, benchmark: DataFrame, items: bool = False) -> DataFrame:
+    """(key, key2, spans) of each document with a hit: its merged word spans; with ``items`` also the sorted item ids.
+
+    Items are joined to the hits by a shuffle on the windows, after these are distinct for each document.
+    """
+    owned = benchmark_windows(benchmark)
+    windows = written(owned.select("n", "hash", "words").distinct().withColumn("window", F.monotonically_increasing_id()), "distinct")
+    found = hits(docs, windows)
+    if items:
+        found = written(found, "hits")  # read twice
+    document = Window.partitionBy("key", "key2").orderBy("start")
+    ahead = F.max(F.col("start") + F.col("n")).over(document.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.count_if(F.col("gap")).over(document.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    merged = (found.withColumn("gap", F.coalesce(F.col("start") > ahead, F.lit(True))).withColumn("span", begins)
+              .groupBy("key", "key2", "span").agg(F.min("start").alias("start"), F.max(F.expr("start + n")).alias("stop"))
+              .groupBy("key", "key2").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans")))
+    if not items:
+        return merged
+    owners = owned.join(windows, ["n", "hash", "words"]).select("window", "item_id")
+    named = (found.select("key", "key2", "window").distinct().join(owners, "window").groupBy("key", "key2")
+             .agg(F.array_sort(F.collect_set("item_id")).alias("items")))
+    return merged.join(named, ["key", "key2"])
 
 
 def decontamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -140,7 +146,7 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Null and empty texts have no words and are clean; repeated rows get the same
     result each; a null item_id counts as the empty one.
     """
-    found = spans(docs, benchmark).select(
+    found = spans(docs, benchmark, items=True).select(
         "key", "key2", F.aggregate("spans", F.lit(0).cast("long"), lambda t, s: t + s["stop"] - s["start"]).alias("n_hit"), "items")
     rows = docs.select("doc_id", F.size(words(text_or_empty())).cast("long").alias("n_words"), *row_key(docs))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
@@ -169,12 +175,14 @@ def without_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     A text without hits stays as it is; of one with hits the remaining words
     (in lower case) are joined by single spaces.
     """
-    found = spans(docs, benchmark).select("key", "key2", F.col("spans").alias("removed_spans"))
+    docs = docs.select([quoted(c) for c in docs.columns if c.lower() != "removed_spans"])
+    a, b = free_name(docs, "key"), free_name(docs, "key2")
     first, second = row_key(docs)
-    both = docs.drop("removed_spans").withColumns({"key": first, "key2": second}).join(found, ["key", "key2"], "left")
+    both = docs.withColumns({a: first, b: second}).join(
+        spans(docs, benchmark).select(F.col("key").alias(a), F.col("key2").alias(b), F.col("spans").alias("removed_spans")), [a, b], "left")
     kept = F.filter(words(text_or_empty()), lambda w, i: ~F.exists("removed_spans", lambda s: (i >= s["start"]) & (i < s["stop"])))
     text = F.when(F.col("removed_spans").isNull(), quoted("text")).otherwise(F.array_join(kept, " "))
-    return both.withColumn("text", text).drop("key", "key2")
+    return both.select(*[text.alias(c) if c == "text" else quoted(c) for c in docs.columns], "removed_spans")
 
 
 ORACLE = f"""

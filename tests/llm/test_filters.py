@@ -246,3 +246,16 @@ def test_labeller_on_layouts_it_has_not_seen(spark, sf_dir):
     assert [r.text for r in got][:4] == [""] * 4
     assert got[4].text == "A title\n\n" + ("Some words of text. " * 20000).strip()
     assert extraction.extraction_report(odd.limit(0)).collect() == []
+
+
+def test_a_window_of_many_items_is_broadcast_once(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PASS_WINDOWS", 3)
+    text = " ".join(f"w{i}" for i in range(20))
+    bench = spark.createDataFrame([(f"i{i}", text) for i in range(30)] + [("short", "w3 w4")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "x " + text + " y w3 w4", "k"), (2, "none of it", "k"), (3, "a w3 w4 b w3 w4", "k")],
+                                 "doc_id long, text string, key string")
+    rows = {r.doc_id: (r.n_hit, r.n_items) for r in decontaminate.decontamination_report(docs, bench).collect()}
+    assert rows == {1: (22, 31), 2: (0, 0), 3: (4, 1)}
+    cut = decontaminate.without_spans(docs, bench)
+    assert cut.columns == ["doc_id", "text", "key", "removed_spans"]
+    assert {r.doc_id: (r.text, r.key) for r in cut.collect()} == {1: ("x y", "k"), 2: ("none of it", "k"), 3: ("a b", "k")}
