@@ -140,7 +140,7 @@ def cuts(rows: DataFrame, known: DataFrame) -> DataFrame:
     """(doc, row, n_removed, kept): for each text that loses words and is no exact copy, how many, and the rest."""
     doc_type = rows.schema["doc"].dataType.simpleString()
     texts = candidates(rows, known, windows)
-    edges = texts.mapInPandas(_edges, f"doc {doc_type}, row int, pos int, source long, target long")
+    edges = written(texts.mapInPandas(_edges, f"doc {doc_type}, row int, pos int, source long, target long"), "edges")
     graph = paths(edges)
     # one number for an edge, half the bytes to move; equal ones of other edges fall to the comparison of words
     edge = F.xxhash64("source", "target").alias("edge")
@@ -148,6 +148,7 @@ def cuts(rows: DataFrame, known: DataFrame) -> DataFrame:
               .join(graph.select(edge, "first_doc", "first_row", "first_pos", "head"), "edge").where("doc > first_doc"))
     spans = written(spans_of(places), "spans")
     discard(graph)
+    discard(edges)
     asked = (spans.groupBy("first_doc", "first_row", "head")
              .agg(F.max(F.expr("start - shift + n - 1")).alias("stop"))
              .groupBy(F.col("first_doc").alias("doc"), F.col("first_row").alias("row"))
