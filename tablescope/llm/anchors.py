@@ -120,17 +120,18 @@ def candidates(rows: DataFrame, known: DataFrame, windows: Callable[[list[str]],
                 yield pd.DataFrame({"doc": some["doc"].to_numpy()[found.owner[new]],
                                     "anchor": found.minimizer[new].view(np.int64)})
 
+    # tables that grow with the texts are joined the same way at every size
     rows = rows.where("doc IS NOT NULL")
     each = written(rows.select("doc", "text").mapInPandas(emit, f"doc {doc_type}, anchor long"), "minimizers")
     shared = written(each.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
                      .where("low < high").select("anchor"), "anchors")
-    lists = written(each.join(shared, "anchor").groupBy("doc").agg(F.collect_set("anchor").alias("anchors")), "lists")
+    lists = written(each.join(shared.hint("merge"), "anchor").groupBy("doc").agg(F.collect_set("anchor").alias("anchors")), "lists")
     discard(each)
     discard(shared)
     wanted = known.where("doc = first").select("doc", "row").join(lists, "doc")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name, path = f"candidates_{uuid.uuid4().hex}", new_path(spark, "candidates")
-    (rows.dropDuplicates(["doc", "row"]).join(wanted, ["doc", "row"]).write.format("parquet")
+    (rows.dropDuplicates(["doc", "row"]).join(wanted.hint("merge"), ["doc", "row"]).write.format("parquet")
      .option("compression", "zstd").bucketBy(buckets, "doc", "row").option("path", path).saveAsTable(name))
     MADE.append(path)
     spark.sparkContext._jvm.System.gc()
