@@ -38,7 +38,7 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judged(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
+    return urls.judged(_table(spark, sf_dir, "pages"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -210,6 +210,72 @@ def test_branches_are_judged_alike_on_large_hosts_and_at_any_depth(spark):
     assert {r.template for r in got if r.host == "deep.net"} == {"/*" * 10 + "/news/*", "/*" * 10 + "/spam/*"}
 
 
+def brute_verdicts(pages):
+    """The method in plain loops over lists of labelled paths; pages without a rule only."""
+    cut, labelled = {}, []
+    for key, url in pages:
+        rest = url.split("://", 1)[1]
+        host = re.match("[^/?#]*", rest)[0].lower()
+        path = re.match("[^?#]*", rest[len(host):])[0]
+        fits = [(len(h + p), v) for v, h, p in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        verdict = max(fits)[1] if fits else None
+        names = host.split(".")
+        wide = list(dict.fromkeys(["", names[-1], ".".join(names[-2:]), host]))
+        cut[key] = wide, [s for s in path.split("/") if s], verdict
+        if verdict:
+            labelled += [(pool, cut[key][1], verdict == "block") for pool in wide]
+
+    def template(pool, segments):
+        mine, out = [(s, bad) for p, s, bad in labelled if p == pool], []
+        for level, segment in enumerate(segments):
+            here = [(s[level], bad) for s, bad in mine if len(s) > level]
+            own, others = [bad for s, bad in here if s == segment], [bad for s, bad in here if s != segment]
+            keep = False
+            if own and others:
+                share, each = sum(bad for _, bad in here) / len(here), 1 / len(own) + 1 / len(others)
+                distance = abs(sum(own) / len(own) - sum(others) / len(others)) - each / 2
+                keep = 0 < share < 1 and distance > urls.APART * (share * (1 - share) * each) ** 0.5
+            kept_here = {}
+
+            def stays(name):
+                if name not in kept_here:
+                    own, others = [bad for s, bad in here if s == name], [bad for s, bad in here if s != name]
+                    share, each = sum(bad for _, bad in here) / len(here), 1 / len(own) + 1 / max(len(others), 1)
+                    kept_here[name] = bool(others) and 0 < share < 1 and (
+                        abs(sum(own) / len(own) - sum(others) / len(others)) - each / 2 > urls.APART * (share * (1 - share) * each) ** 0.5)
+                return kept_here[name]
+
+            out.append(segment if keep else "*")
+            mine = [(s, bad) for s, bad in mine if len(s) > level and (s[level] == segment if keep else not stays(s[level]))]
+        return tuple(out), mine
+
+    usual = [bad for pool, _, bad in labelled if pool == ""]
+    result = {}
+    for key, (wide, segments, verdict) in cut.items():
+        share = (len(usual) - sum(usual) + urls.PRIOR) / (len(usual) + urls.PRIOR)
+        for pool in wide:
+            _, same = template(pool, segments)
+            same = [bad for s, bad in same if len(s) == len(segments)]
+            share = (len(same) - sum(same) + urls.PRIOR * share) / (len(same) + urls.PRIOR)
+        result[key] = verdict or ("block" if share < urls.PURITY else "allow")
+    return result
+
+
+def test_learned_verdicts_match_brute_force(spark, sf_dir):
+    pages = [(r.page_id, r.url) for r in spark.read.parquet(f"{sf_dir}/../sf0.01/pages.parquet").collect() if r.url and "://" in r.url]
+    got = {r.page_id: r for r in urls.judged(spark.createDataFrame(pages, "page_id long, url string")).collect()}
+    expected = brute_verdicts(pages)
+    assert {k: r.verdict for k, r in got.items()} == expected
+    assert {r.verdict for r in got.values() if r.rule is None} == {"allow", "block"}
+
+
+def test_a_small_branch_of_bad_pages_is_told_apart(spark):
+    pages = [(i, f"http://a.com/fr/{i}") for i in range(60)] + [(100 + i, f"http://b.com/de/{i}") for i in range(8)]
+    pages += [(200, "http://c.net/de/x"), (201, "http://c.net/fr/x")]
+    got = {r.page_id: r for r in urls.judged(spark.createDataFrame(pages, "page_id long, url string")).collect()}
+    assert got[200].verdict == "block" and got[201].verdict == "allow" and got[200].rule is None
+
+
 def test_blocks_of_untidy_markup():
     page = ("<html><head><title>no</title><style>p{}</style></head><body><!-- <p>no</p> --><script>if (a<b) '<p>no</p>'</script>"
             "<div class='a b_c'>one &amp; <b>two<p>three<br>four <a href=x>link</a><p>5 &lt; 6 a<b</div><ul><li>x<li>y</ul></body>")
