@@ -54,15 +54,15 @@ def _equal_bucket(value: Column, low: float, high: float) -> Column:
                   F.floor((value / 2 - F.lit(low / 2)) / F.lit(width) * _PARTS))
 
 
-def _histograms(df: DataFrame, parts: Sequence[tuple[Column, Column]]) -> dict[int, list]:
-    """Bucket counts for each (value, bucket) pair; one job for all of them."""
+def _histograms(df: DataFrame, parts: Sequence[tuple[Column, Column]], weight: Sequence[str] = ()) -> dict[int, list]:
+    """Bucket counts, or sums of the weight, for each (value, bucket) pair; one job for all of them."""
     pairs = [F.when(bucket.isNotNull(), F.struct(bucket.alias("b"), value.alias("v"))).alias(f"p{i}")
              for i, (value, bucket) in enumerate(parts)]
     counted = (
-        df.select(*pairs).unpivot([], [f"p{i}" for i in range(len(pairs))], "part", "pair")
+        df.select(*weight, *pairs).unpivot(list(weight), [f"p{i}" for i in range(len(pairs))], "part", "pair")
         .filter("pair is not null")
-        .select("part", "pair.b", "pair.v")
-        .groupBy("part", "b").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        .select("part", "pair.b", "pair.v", *weight)
+        .groupBy("part", "b").agg((F.sum(weight[0]) if weight else F.count("*")).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     )
     out: dict[int, list] = {i: [] for i in range(len(pairs))}
     for row in counted.collect():
@@ -71,18 +71,21 @@ def _histograms(df: DataFrame, parts: Sequence[tuple[Column, Column]]) -> dict[i
 
 
 def exact_quantiles(df: DataFrame, columns: Mapping[str, Column],
-                    probabilities: Mapping[str, Sequence[float]]) -> dict[str, list[float | None]]:
+                    probabilities: Mapping[str, Sequence[float]],
+                    weight: Column | None = None) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles, for several columns at once.
 
     ``columns`` maps names to double expressions; NULLs are left out. A column
-    without values yields ``None`` for each of its probabilities.
+    without values yields ``None`` for each of its probabilities. A row counts as
+    ``weight`` rows, a whole number above 0, if that is given.
     """
     names = [n for n in columns if probabilities.get(n)]
     if not names:
         return {}
-    values = df.select(*[columns[n].alias(f"q{i}") for i, n in enumerate(names)])
+    weights = [] if weight is None else ["weight"]
+    values = df.select(*[columns[n].alias(f"q{i}") for i, n in enumerate(names)], *([weight.alias("weight")] if weights else []))
     col_of = {n: F.col(f"q{i}") for i, n in enumerate(names)}
-    first = _histograms(values, [(col_of[n], _octave_bucket(col_of[n])) for n in names])
+    first = _histograms(values, [(col_of[n], _octave_bucket(col_of[n])) for n in names], weights)
 
     rows = {n: sum(b[1] for b in first[i]) for i, n in enumerate(names)}
     searches: dict[tuple[str, int], _Search] = {}
@@ -98,7 +101,7 @@ def exact_quantiles(df: DataFrame, columns: Mapping[str, Column],
 
     while open_ranges := sorted({(s.name, s.low, s.high) for s in searches.values() if not s.found}):
         counted = _histograms(values, [(col_of[n], _equal_bucket(col_of[n], lo, hi))
-                                       for n, lo, hi in open_ranges])
+                                       for n, lo, hi in open_ranges], weights)
         for i, key in enumerate(open_ranges):
             for s in searches.values():
                 if not s.found and (s.name, s.low, s.high) == key:

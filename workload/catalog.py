@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tablescope import fixed_values as fv
 from tablescope.functions import dates, numbers, text
-from tablescope.operators import dedupe, insights, kpis, profiling, quality, rollups, slicing
+from tablescope.operators import dedupe, insights, kpis, profiling, quality, rollups, slicing, summary
 from tablescope.operators.cleaning import clean_dataset, compile_plan, duplicate_ids
 from tablescope.operators.distinct import distinct_count_frame
 from tablescope.operators.quantiles import exact_quantiles
@@ -514,6 +514,42 @@ def exact_quartiles(spark, sf):
     return spark.createDataFrame([tuple(found["p"])], "q1 double, q2 double, q3 double")
 
 
+# --- states of deliveries ------------------------------------------------------
+
+def _facts(name, number):
+    ranks = ", ".join(f"round(quantile_cont({number}, {p}), 4) AS {n}" for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)))
+    return f"""SELECT '{name}' AS "column", count(*) AS "rows", count(*) - count({name}) AS missing, count(DISTINCT {name}) AS "distinct",
+      round(sum({number}), 2) AS total, min({number}) AS low, max({number}) AS high, {ranks} FROM lineitem"""
+
+
+@query("summary_of_deliveries", " UNION ALL ".join(
+    [_facts(n, f"CAST({n} AS DOUBLE)") for n in ("l_orderkey", "l_quantity", "l_extendedprice", "l_discount")]
+    + [_facts("l_shipdate", "CAST(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS DOUBLE)"),
+       _facts("l_returnflag", "CAST(NULL AS DOUBLE)")]))
+def summary_of_deliveries(spark, sf):
+    """Each year shipped is a delivery; only their states are read for the result."""
+    lines = v.table(spark, sf, "lineitem").withColumn("l_shipdate", F.col("l_shipdate").cast("date"))
+    store = summary.SummaryStore(spark, new_path(spark, "states"), [
+        "l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_shipdate", "l_returnflag"])
+    first, last = lines.agg(F.min(F.year("l_shipdate")), F.max(F.year("l_shipdate"))).first()
+    for year in range(first, last + 1):
+        store.add(str(year), lines.where(F.col("l_shipdate").between(f"{year}-01-01", f"{year}-12-31")))
+    store.add("undated", lines.where("l_shipdate IS NULL"))
+    return rounded(rounded(store.describe(), "total"), "q1", "median", "q3", digits=4)
+
+
+@query("merged_month_states", """
+  SELECT date_trunc('month', o_orderdate)::DATE AS month, o_orderstatus AS status, count(*) AS "rows",
+    count(o_totalprice) AS known, round(sum(o_totalprice), 2) AS total, min(o_totalprice) AS low, max(o_totalprice) AS high
+  FROM orders GROUP BY 1, 2""")
+def merged_month_states(spark, sf):
+    orders = v.table(spark, sf, "orders")
+    keys = {"month": F.trunc("o_orderdate", "month"), "status": F.col("o_orderstatus")}
+    parts = [summary.group_states(part, keys, F.col("o_totalprice"))
+             for part in (orders.where("o_orderpriority < '3'"), orders.where("o_orderpriority >= '3' OR o_orderpriority IS NULL"))]
+    return rounded(summary.merge_groups(parts[0].unionByName(parts[1]), list(keys)), "total")
+
+
 # --- key figures -------------------------------------------------------------
 
 @query("kpi_totals", v.WITH_ORDERS + """
