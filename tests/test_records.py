@@ -1,6 +1,7 @@
 import csv
 import io
 import random
+from pathlib import Path
 
 import pytest
 from hypothesis import given, settings
@@ -9,6 +10,7 @@ from hypothesis import strategies as st
 from tablescope.sources import load, read_csv
 from tablescope.sources.loader import MALFORMED
 from tablescope.sources.records import _transitions, csv_records, parts_inside, _lines
+from workload import catalog
 
 
 @pytest.fixture
@@ -86,3 +88,15 @@ def test_transitions_follow_the_writer(rows):
         for i, line in enumerate(lines):
             inside = after(line, inside)
             assert inside == (i + 1 < len(lines))
+
+
+def test_no_task_writes_all_documents(spark, tmp_path, small_parts):
+    rows = [(i, f"line {i}\n\"two\", and\nthree" * (i % 9), "en", "web", i) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(6).write.parquet(str(tmp_path / "documents.parquet"))
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(folder.glob("documents-*.csv"))
+    got = catalog.csv_lines_in_quotes(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == [(i, t or None, *rest) for i, t, *rest in rows]
+    (made,) = set(folder.glob("documents-*.csv")) - before
+    assert len(list(made.glob("part-*.csv"))) >= 6

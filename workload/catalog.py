@@ -317,7 +317,7 @@ def csv_lines_in_quotes(spark, sf):
     """The documents as CSV with their line ends in quotes, read back by many tasks."""
     path = new_path(spark, "documents") + ".csv"
     docs = v.table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars")
-    docs.coalesce(1).write.csv(path, header=True, quote='"', escape='"', quoteAll=True, emptyValue="", nullValue="")
+    docs.write.csv(path, header=True, quote='"', escape='"', quoteAll=True, emptyValue="", nullValue="")
     key, limit = "spark.sql.files.maxPartitionBytes", 1 << 20  # parts of this small file, as a large one has them
     before = spark.conf.get(key)
     spark.conf.set(key, str(limit))
