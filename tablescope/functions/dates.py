@@ -52,6 +52,9 @@ _CLOCK = r"(?=\d{1,2}(?::| ?[ap]\.?m))(\d{1,2}(?::\d{2}(?::\d{2}(?:\.\d{1,9})?)?
 _PLAIN_MOMENT = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2}[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?)$"
 _ZONE = r"(?: ?(Z|UTC|GMT|[+-]\d{2}:?\d{2}))?"
 _TIMED = r"(?i)(?:\d:\d|\d ?[ap]\.?m\.?(?: |$)|^\d{8}T?\d{4})"
+# No date begins so, thus only the time can; and a date written together with its time.
+_CLOCK_FIRST = r"(?i)^\d{1,2}(?::| ?[ap]\.?m)"
+_COMPACT_TIME = r"(?i)^\d{8}T?\d{4}"
 # Forms with a time, and what turns them into date|clock|half of the day|zone.
 _WITH_TIME = (
     (rf"(?i)^(.+?)(?:,? |T){_CLOCK}{_ZONE}$", "$1|$2|$3|$4"),
@@ -125,16 +128,29 @@ def _day(text: Column, form: str, day_first: bool) -> Column:
         (x >= str(_FIRST_YEAR)) & (x < str(_LAST_YEAR + 1)), numbers_only(x).try_cast("date")))
 
 
+def _kind(form: str) -> str:
+    """How texts of a form look at a glance."""
+    parts = _GRAMMAR[form][0].split() if form != JALALI else ["YYYY", "any"]
+    if "NAME" in parts:
+        return "name" if parts[0] == "NAME" else "digits_and_name"
+    return "year" if parts[0] == "YYYY" and parts[1] != "MM" else "other"
+
+
 def _dated(text: Column, forms, strict_days: bool, day_first: bool) -> Column:
     """struct(day, form) of a text without a time, NULL if it has none of ``forms``."""
-    out = F
-    for form in forms:
-        if form == JALALI:
-            fits, day = text.rlike(fv.JALALI_DATE), _jalali(text, strict_days)
-        else:
-            fits, day = text.rlike(_pattern(form)), _day(text, form, day_first)
-        out = out.when(fits, F.struct(day.alias("day"), F.lit(FORMS.index(form)).alias("form")))
-    return out
+    def among(kind: str) -> Column:
+        out = F
+        for form in [f for f in forms if _kind(f) == kind]:
+            if form == JALALI:
+                fits, day = text.rlike(fv.JALALI_DATE), _jalali(text, strict_days)
+            else:
+                fits, day = text.rlike(_pattern(form)), _day(text, form, day_first)
+            out = out.when(fits, F.struct(day.alias("day"), F.lit(FORMS.index(form)).alias("form")))
+        return out
+
+    # at most three looks decide which forms a text may have
+    return (F.when(text >= "A", among("name")).when(text.rlike("[A-Za-z]"), among("digits_and_name"))
+            .when(text.rlike(r"^\d{4}[-/.]"), among("year")).otherwise(among("other")))
 
 
 def _without_weekday(text: Column) -> Column:
@@ -143,9 +159,14 @@ def _without_weekday(text: Column) -> Column:
 
 def _timed(text: Column, read) -> Column:
     """struct(value, form) of a text with a time."""
-    cut = F.lit(None).cast("string")
-    for pattern, replacement in reversed(_WITH_TIME):
-        cut = F.when(text.rlike(pattern), F.regexp_replace(text, pattern, replacement)).otherwise(cut)
+    def cut(forms) -> Column:
+        out = F
+        for pattern, replacement in forms:
+            out = out.when(text.rlike(pattern), F.regexp_replace(text, pattern, replacement))
+        return out
+
+    behind, before, *compact = _WITH_TIME
+    parts = F.when(text.rlike(_CLOCK_FIRST), cut([before])).when(text.rlike(_COMPACT_TIME), cut(compact)).otherwise(cut([behind]))
 
     def moment(parts: Column) -> Column:
         clock, half = parts[1], parts[2]
@@ -163,7 +184,7 @@ def _timed(text: Column, read) -> Column:
     plain = let(F.regexp_replace(text, _PLAIN_MOMENT, "$1-$2-$3"), lambda x: F.struct(
         F.when((x >= str(_FIRST_YEAR)) & (x < str(_LAST_YEAR + 1)), x.try_cast("timestamp")).alias("value"),
         F.lit(FORMS.index("year_first")).alias("form")))
-    return F.when(text.rlike(_PLAIN_MOMENT), plain).otherwise(let(F.split(cut, r"\|"), moment))
+    return F.when(text.rlike(_PLAIN_MOMENT), plain).otherwise(let(F.split(parts, r"\|"), moment))
 
 
 def date_and_form(col: Column, strict_days: bool = False, day_first: bool = False, forms=None) -> Column:

@@ -44,9 +44,10 @@ def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once, however often ``body`` uses it.
 
     Keeps long regular-expression chains from being written out again at every
-    use, which would make the generated code too large to compile.
+    use, which would make the generated code too large to compile. A fold over
+    nothing hands its first value to ``body`` without an array made for each row.
     """
-    return F.transform(F.array(value), body)[0]
+    return F.aggregate(F.array(), value, lambda kept, _: kept, body)
 
 
 def is_ascii(col: Column) -> Column:

@@ -175,3 +175,20 @@ def test_plain_text(spark):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     got = [r[0] for r in df.select(numbers.plain_text(df["v"], df.schema["v"].dataType)).collect()]
     assert got == [str(v) for v in values]
+
+
+def test_a_date_is_held_against_the_forms_it_may_have(spark):
+    texts = ["2026-01-05", "5Jan2026", "Jan 5 2026", "1/2/2026", "10:30 1/2/2026", "20260105T1030"]
+    plan = (spark.createDataFrame([(t,) for t in texts], "t string").select(dates.parse_dates(F.col("t")))
+            ._jdf.queryExecution().optimizedPlan().toString())
+    assert "aggregate(" in plan and "transform(" not in plan  # no array is made for each value of a chain
+    assert dates._kind("name_year") != dates._kind("year_first") != dates._kind("compact")
+
+
+def test_clocks_on_either_side(spark):
+    texts = ["10:30 1/2/2026", "1/2/2026 10:30", "10:30 1/2/2026 11:30", "5 am Jan 5 2026", "5 Jan 2026 5 am", "5 Apr 2026", "5 am 2026",
+             "20260105T1030", "20260105103000", "20260105T10:30", "20260105T1030 10:30", "Jan 5 2026T10:30Z", "[2026-01-05", "_Jan 5 2026", "!5 Jan 2026"]
+    got = [str(r[0]) for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1).sort("i")
+           .select(dates.parse_dates(F.col("t")).cast("string")).collect()]
+    assert got == ["2026-01-02 10:30:00", "2026-01-02 10:30:00", "None", "2026-01-05 05:00:00", "2026-01-05 05:00:00", "2026-04-05 00:00:00", "None",
+                   "2026-01-05 10:30:00", "2026-01-05 10:30:00", "2026-01-05 10:30:00", "None", "2026-01-05 10:30:00", "None", "None", "None"]
