@@ -23,6 +23,8 @@ from tablescope.operators.quantiles import exact_quantiles
 
 STATE = "column string, label string, number double, rows bigint"
 QUARTILES = (0.25, 0.5, 0.75)
+#: Bytes of a file that a task combines at most, as far as the file's row groups let it.
+SCAN_BYTES = 16 << 20
 
 
 def _number(col: Column, kind: T.DataType) -> Column:
@@ -112,7 +114,15 @@ class SummaryStore:
         return f"{self.folder}/{delivery}"
 
     def add(self, delivery: str, df: DataFrame) -> None:
-        summarise(df, self.columns).write.mode("overwrite").parquet(self._place(delivery))
+        key = "spark.sql.files.maxPartitionBytes"  # what a task reads it also holds, if nothing repeats
+        before = self.spark.conf.get(key)
+        # read as Spark does, so that 128m and 128MB stay what they are
+        if self.spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before) > SCAN_BYTES:
+            self.spark.conf.set(key, str(SCAN_BYTES))
+        try:
+            summarise(df, self.columns).write.mode("overwrite").parquet(self._place(delivery))
+        finally:
+            self.spark.conf.set(key, before)
 
     def drop(self, delivery: str) -> None:
         self._files.delete(self._path(self._place(delivery)), True)

@@ -68,6 +68,17 @@ def test_states_are_combined_before_the_shuffle(spark, tmp_path):
     assert "states" in store.state()._jdf.queryExecution().toString()
 
 
+def test_a_delivery_is_read_in_small_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(summary, "SCAN_BYTES", 1 << 14)
+    (tmp_path / "raw.txt").write_text("".join(f"{i:09}\n" for i in range(40_000)))
+    raw = spark.read.text(str(tmp_path / "raw.txt")).select("value", F.spark_partition_id().alias("part"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    store = summary.SummaryStore(spark, str(tmp_path / "states"))
+    store.add("a", raw)
+    assert {r["column"]: r.distinct for r in store.describe().collect()} == {"part": 25, "value": 40_000}
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+
+
 def test_group_states_merge(spark):
     keys = {"month": F.trunc("d", "month")}
     parts = [summary.group_states(table(spark, rows_of(a, b)), keys, F.col("k")) for a, b in ((0, 70), (70, 230))]
