@@ -2,7 +2,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tablescope.operators import kpis, rollups
-from workload import check, views
+from workload import catalog, check, views
 
 SF = "/root/testdata/sf0.01"
 QUICK = ["monthly_growth", "kpi_totals", "kpi_best", "kpi_report", "trend_quarter", "trend_week", "top10_product",
@@ -51,3 +51,8 @@ def test_groups_are_combined_before_the_shuffle(spark):
                rollups.share(lines, views.lines_profile(), "Nation"),
                rollups.distribution(lines, views.lines_profile())):
         assert "CartesianProduct" not in plan_of(df) and "NestedLoop" not in plan_of(df)
+
+
+def test_a_saved_plan_reads_the_untidy_table_once(spark, sf_dir):
+    files = catalog.clean_sales_by_saved_plan(spark, sf_dir).inputFiles()
+    assert files and not any("/untidy-" in f for f in files)

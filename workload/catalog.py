@@ -227,8 +227,8 @@ def clean_sales(spark, sf):
 @query("clean_sales_by_saved_plan", v.WITH_CLEAN + "SELECT * FROM clean_sales")
 def clean_sales_by_saved_plan(spark, sf):
     dirty = v.dirty_sales(spark, sf)
-    saved = clean_dataset(dirty, v.DIRTY_OPTIONS).plan.to_json()
-    return dedupe.drop_duplicates(CleaningPlan.from_json(saved).apply(dirty))
+    saved = clean_dataset(dirty, v.DIRTY_OPTIONS, store=True).plan.to_json()
+    return dedupe.drop_duplicates(materialize(CleaningPlan.from_json(saved).apply(dirty), "typed"))  # read more than once
 
 
 _COPIES = "(CASE WHEN k % 20 = 0 THEN 2 ELSE 1 END)"
