@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,6 +97,19 @@ def merge_groups(states: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.min("low").alias("low"), F.max("high").alias("high"))
 
 
+@contextmanager
+def _small_parts(spark: SparkSession):
+    """Jobs run meanwhile read files in parts of SCAN_BYTES: what a task reads it also holds, if nothing repeats."""
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before) > SCAN_BYTES:
+        spark.conf.set(key, str(SCAN_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class SummaryStore:
     """States of deliveries in a shared folder, one subfolder for each.
 
@@ -114,15 +128,9 @@ class SummaryStore:
         return f"{self.folder}/{delivery}"
 
     def add(self, delivery: str, df: DataFrame) -> None:
-        key = "spark.sql.files.maxPartitionBytes"  # what a task reads it also holds, if nothing repeats
-        before = self.spark.conf.get(key)
-        # read as Spark does, so that 128m and 128MB stay what they are
-        if self.spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before) > SCAN_BYTES:
-            self.spark.conf.set(key, str(SCAN_BYTES))
-        try:
-            summarise(df, self.columns).write.mode("overwrite").parquet(self._place(delivery))
-        finally:
-            self.spark.conf.set(key, before)
+        with _small_parts(self.spark):
+            (summarise(df, self.columns).write.mode("overwrite").option("parquet.block.size", SCAN_BYTES)
+             .parquet(self._place(delivery)))
 
     def drop(self, delivery: str) -> None:
         self._files.delete(self._path(self._place(delivery)), True)
@@ -141,4 +149,5 @@ class SummaryStore:
         return merge(self.spark.read.schema(STATE).parquet(*whole))
 
     def describe(self) -> DataFrame:
-        return describe(self.state())
+        with _small_parts(self.spark):
+            return describe(self.state())

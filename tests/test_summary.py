@@ -77,6 +77,10 @@ def test_a_delivery_is_read_in_small_parts(spark, tmp_path, monkeypatch):
     store.add("a", raw)
     assert {r["column"]: r.distinct for r in store.describe().collect()} == {"part": 25, "value": 40_000}
     assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+    seen = []
+    monkeypatch.setattr(summary, "describe", lambda state: seen.append(spark.conf.get("spark.sql.files.maxPartitionBytes")))
+    store.describe()
+    assert seen == [str(1 << 14)] and spark.conf.get("spark.sql.files.maxPartitionBytes") == before
 
 
 def test_group_states_merge(spark):
