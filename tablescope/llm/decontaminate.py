@@ -20,11 +20,29 @@ WINDOW = 13
 PASS_WINDOWS = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What no word holds, upper case or not, as a set of characters and as a pattern.
+BETWEEN = "".join(c for c in map(chr, range(128)) if not c.isalnum())
+GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def lowered(word: Column) -> Column:
+    """``word`` with A-Z, and nothing else, in lower case; few words need the slow way."""
+    return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(F.translate(word, UPPER, LOWER))
+
+
+def raw_words(text: Column) -> Column:
+    """Runs of digits, letters and all other non-ASCII characters, as they stand in ``text``."""
+    inside = F.btrim(text, F.lit(BETWEEN))
+    return F.when(inside == "", F.expr("CAST(array() AS array<string>)")).otherwise(F.split(inside, GAP, -1))
 
 
 def words(text: Column) -> Column:
-    """Runs of digits, letters and all other non-ASCII characters, with A-Z in lower case."""
-    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0))
+    """The words of ``text`` with A-Z in lower case."""
+    return F.transform(raw_words(text), lowered)
+
+
+def n_words(text: Column) -> Column:
+    return F.size(raw_words(text)).cast("long")
 
 
 def _from(values: Column, start: int, n: Column) -> Column:
@@ -32,13 +50,13 @@ def _from(values: Column, start: int, n: Column) -> Column:
 
 
 def with_hashes(df: DataFrame, lengths: list[int]) -> DataFrame:
-    """``df`` (with ``words``) and, for each length, an array ``h<length>`` of all its windows' hashes.
+    """``df`` (with ``words``, in any case) and, for each length, an array ``h<length>`` of all its windows' hashes.
 
     Hashes of 1, 2, 4 and 8 words are combined by pairs; the other lengths are made
     of those, so a window costs a few combinations instead of as many as it has words.
     """
     n = F.size("words")
-    df = df.withColumn("h1", F.transform("words", lambda w: F.xxhash64(w)))
+    df = df.withColumn("h1", F.transform("words", lambda w: F.xxhash64(lowered(w))))
     have = {1}
 
     def joined(a: int, b: int) -> Column:
@@ -91,7 +109,7 @@ def row_key(df: DataFrame) -> list[Column]:
 def hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """(key, key2, window, start, n): every place of a document where one of ``windows`` (window, n, hash, words) stands."""
     lengths = _lengths(windows)
-    found = docs.select(*row_key(docs), words(text_or_empty()).alias("words"))
+    found = docs.select(*row_key(docs), raw_words(text_or_empty()).alias("words"))
     if not lengths:
         return found.select("key", "key2", F.lit(0).cast("long").alias("window"), F.lit(0).alias("start"), F.lit(0).alias("n")).limit(0)
     hashed = with_hashes(found, lengths).select("key", "key2", "words", *[f"h{k}" for k in lengths])
@@ -110,8 +128,10 @@ def hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
         # every window is there once, so a pass holds about PASS_WINDOWS however many items share one
         few = windows.where(F.pmod(F.xxhash64("hash", "window"), F.lit(passes)) == p).select(
             "window", F.col("hash").alias("b_hash"), F.col("n").alias("b_n"), F.col("words").alias("b_words"))
-        same = (F.col("hash") == F.col("b_hash")) & (F.col("n") == F.col("b_n")) & (
-            F.array_join(F.slice("words", F.col("start") + 1, F.col("n")), " ") == F.array_join("b_words", " "))
+        # an equality with one table on either side would be a join key, and so a text made for every window
+        mine = F.translate(F.array_join(F.slice("words", F.col("start") + 1, F.col("n")), " "), UPPER, LOWER)
+        other = F.array_join("b_words", " ")
+        same = (F.col("hash") == F.col("b_hash")) & mine.startswith(other) & other.startswith(mine)
         parts.append(spread.join(F.broadcast(few), same).select("key", "key2", "window", "start", "n"))
     return reduce(DataFrame.unionAll, parts)
 
@@ -148,7 +168,7 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     found = spans(docs, benchmark, items=True).select(
         "key", "key2", F.aggregate("spans", F.lit(0).cast("long"), lambda t, s: t + s["stop"] - s["start"]).alias("n_hit"), "items")
-    rows = docs.select("doc_id", F.size(words(text_or_empty())).cast("long").alias("n_words"), *row_key(docs))
+    rows = docs.select("doc_id", n_words(text_or_empty()).alias("n_words"), *row_key(docs))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     items = F.coalesce("items", F.expr("CAST(array() AS array<string>)"))
     return rows.join(found, ["key", "key2"], "left").select(
@@ -159,7 +179,7 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, unchanged, with their own columns."""
-    rows = docs.select(*row_key(docs), "doc_id", F.size(words(text_or_empty())).cast("long").alias("n_words"))
+    rows = docs.select(*row_key(docs), "doc_id", n_words(text_or_empty()).alias("n_words"))
     found = spans(docs, benchmark).select(
         "key", "key2", F.aggregate("spans", F.lit(0).cast("long"), lambda t, s: t + s["stop"] - s["start"]).alias("n_hit"))
     bad = rows.join(found, ["key", "key2"]).where("20 * n_hit >= n_words").select("key", "key2").distinct()

@@ -325,3 +325,21 @@ def test_a_window_of_many_items_is_broadcast_once(spark, monkeypatch):
     cut = decontaminate.without_spans(docs, bench)
     assert cut.columns == ["doc_id", "text", "key", "removed_spans"]
     assert {r.doc_id: (r.text, r.key) for r in cut.collect()} == {1: ("x y", "k"), 2: ("none of it", "k"), 3: ("a b", "k")}
+
+
+def test_benchmark_windows_are_met_by_their_hash_alone(spark):
+    docs = spark.createDataFrame([(1, "one two three")], "doc_id long, text string")
+    windows = spark.createDataFrame([(7, 2, 5, ["one", "two"])], "window long, n int, hash long, words array<string>")
+    plan = decontaminate.hits(docs, windows)._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "HashJoin" in line]
+    assert joins and all(re.search(r"HashJoin \[[\w#]+\], \[[\w#]+\], Inner", line) for line in joins), plan
+
+
+def test_words_are_those_of_the_pattern(spark):
+    texts = ["".join(map(chr, range(128))), "", " .", "-A-b--C-", "ÉKİ ÀB\x85c Zz9", "x\x00Y", "\x7fa\x1f", "日本 K"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select(
+        "text", decontaminate.words(decontaminate.text_or_empty()).alias("words"),
+        decontaminate.n_words(decontaminate.text_or_empty()).alias("n")).collect()
+    for text, words, n in rows:
+        lower = text.translate(str.maketrans(decontaminate.UPPER, decontaminate.LOWER))
+        assert words == TOKEN.findall(lower) and n == len(words), text
