@@ -1,30 +1,58 @@
 """Token ids of whole texts by the tokenizers library, with a memory of words.
 
-A text is cut at spaces where the tokenizer's own splitting cuts too, so ids of the
-parts, side by side, are the ids of the text; a part met before is looked up. Which
-cuts are safe follows from the tokenizer's settings; with settings not known here,
-and for texts that hold a special token's string, whole texts are encoded.
+A text is cut at spaces and line ends where the tokenizer's own splitting cuts too, so
+ids of the parts, side by side, are the ids of the text; a part met before is looked up.
+A new part that is a word of plain letters goes to the library's model, which is all
+that the library's other steps would do with it. Which cuts are safe follows from the
+tokenizer's settings; with settings not known here, and for texts that hold a special
+token's string, whole texts are encoded.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
-from itertools import filterfalse
+import struct
+from collections.abc import Callable, Iterator
 
-import numpy as np
-
-#: Parts remembered by a worker; when full, all are forgotten.
+#: Parts, and words, remembered by a worker; of these, half may be forgotten when they were not met for long.
 REMEMBERED = 600_000
-#: Characters of texts encoded together.
-TOGETHER = 500_000
-#: Words of plain Latin letters, and ASCII marks (but the apostrophe), which are split from letters.
-_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
-_LINES = re.compile(r"(?:[A-Za-zÀ-ÖØ-öø-įı-ɏ]+[!-&(-/:-@\[-`{-~]*\n)+[A-Za-zÀ-ÖØ-öø-įı-ɏ]+[!-&(-/:-@\[-`{-~]*")
-_SAFE_SPACE = re.compile(r"(?<!\s) (?=\S)")
-#: Spaces that may belong to a run of white space.
-_RUN = re.compile(r"\s \s|^ | $")
+#: ASCII marks (but the apostrophe), which are split from letters.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Plain Latin letters; no step of the tokenizers but lower case changes them.
+_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-įı-ɏ]+")
+#: A space that begins a part, or the place before a line end that is a token of its own.
+_SAFE = re.compile(r"(?<!\s) (?=\S)|(?<!\s)(?=\n\S)")
+#: In texts without these, a space or line end is one character between two others, if it is inside.
+_ODD_SPACES = ["  ", " \n", "\n ", "\n\n", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")]
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level models know each byte by."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
+class _Memory(dict):
+    """What ``find`` says of each key; keys not met for long are forgotten."""
+
+    def __init__(self, find: Callable[[str], bytes]):
+        self.find = find
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.older.get(key)
+        if found is None:
+            found = self.find(key)
+        if len(self) >= REMEMBERED // 2:
+            self.older = dict(self)
+            self.clear()
+        self[key] = found
+        return found
 
 
 class Encoder:
@@ -38,6 +66,7 @@ class Encoder:
         with open(path, encoding="utf-8") as file:
             settings = json.load(file)
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
         self.special = [t["content"] for t in settings.get("added_tokens") or []]
         before = settings.get("pre_tokenizer") or {}
         normal = settings.get("normalizer")
@@ -49,15 +78,10 @@ class Encoder:
             self.rule = "leading"
         elif inner == ["Split", "ByteLevel"] and steps == ["NFC", "Replace", "Lowercase"] and before["pretokenizers"][0].get("invert"):
             self.rule = "dropped"
-        self.first: dict[str, bytes] = {"": b""}
-        self.rest: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
-        #: text between words that are encoded together, and the one id it becomes
-        self.between = {"leading": "\n", "dropped": " 0 "}.get(self.rule, "")
-        self.between_id = self._whole(self.between)
-        if len(self.between_id) != 4:
-            self.rule = None
+        self.first = _Memory(lambda part: self._part("", part))
+        self.rest = _Memory(self._after_cut)
+        self.words = _Memory(self._word)
+        self.marks = _Memory(self._whole)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -66,82 +90,42 @@ class Encoder:
         return cls._shared[path]
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, known: dict[str, bytes], new: set[str], lead: str) -> None:
-        """Ids of ``new`` parts, each with ``lead`` in front, into ``known``."""
-        cut, new_words = {}, set()
-        for part in new:
-            found = _PLAIN.fullmatch(lead + part)
-            if found:
-                word, mark = found.groups()
-                if self.rule == "dropped" and word.isascii():  # lower case is the tokenizer's own step
-                    word = word.lower()
-                cut[part] = word, mark
-                if word not in self.words:
-                    new_words.add(word)
-            elif "\n" in part and self.rule == "leading" and _LINES.fullmatch(part):
-                known[part] = self._lines(lead + part)
-            else:
-                known[part] = self._whole(lead + part)
-        if len(self.words) + len(new_words) > REMEMBERED:
-            self.words.clear()
-            new_words = {word for word, _ in cut.values()}
-        ordered = list(new_words)
-        for start in range(0, len(ordered), 2_000):
-            some = ordered[start:start + 2_000]
-            data = self._whole(self.between.join(some))
-            ids = np.frombuffer(data, "<u4")
-            ends = (4 * np.flatnonzero(ids == np.frombuffer(self.between_id, "<u4")[0])).tolist()
-            if len(ends) == len(some) - 1:
-                self.words.update((w, data[a:b]) for w, a, b in zip(some, [0, *(e + 4 for e in ends)], [*ends, len(data)]))
-            else:
-                self.words.update((w, self._whole(w)) for w in some)
-        for mark in {m for _, m in cut.values()} - self.marks.keys():
-            self.marks[mark] = self._whole(mark) if mark else b""
-        known.update((part, self.words[word] + self.marks[mark]) for part, (word, mark) in cut.items())
-
-    def _lines(self, text: str) -> bytes:
-        """Of parts with single line ends inside, which are tokens of their own."""
-        return self._whole("\n").join(self._plain(line) for line in text.split("\n"))
-
-    def _plain(self, text: str) -> bytes:
-        word, mark = _PLAIN.fullmatch(text).groups()
-        for known, part in ((self.words, word), (self.marks, mark)):
-            if part not in known:
-                known[part] = self._whole(part) if part else b""
-        return self.words[word] + self.marks[mark]
-
-    def _look_up(self, known: dict[str, bytes], lists: list[list[str]], lead: str) -> list[bytes]:
-        new: set[str] = set()
-        for parts in lists:
-            new.update(filterfalse(known.__contains__, parts))
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = {p for parts in lists for p in parts}
-        if new:
-            self._learn(known, new, lead)
-            known[""] = b"" if self.rule == "dropped" or not lead else self._whole(lead)
-        return [b"".join(map(known.__getitem__, parts)) for parts in lists]
-
-    def _some(self, texts: list[str]) -> list[bytes]:
-        whole = {i for i, t in enumerate(texts) if self.rule is None or any(s in t for s in self.special)}
-        cut = [i for i in range(len(texts)) if i not in whole]
+        ids = self.library.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _word(self, word: str) -> bytes:
+        """Of plain letters, already in the tokenizer's case, with no or one space in front."""
+        if not (word.isascii() and word.isalpha()):
+            word = word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        ids = [t.id for t in self.model.tokenize(word)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _part(self, lead: str, part: str) -> bytes:
+        word = part.rstrip(_MARKS)
+        if word.isalpha() and (word.isascii() or _LETTERS.fullmatch(word)):
+            mark = part[len(word):]
+            if self.rule == "dropped":
+                word = word.lower()
+            ids = self.words[lead + word]
+            return ids + self.marks[mark] if mark else ids
+        return self._whole(lead + part)
+
+    def _after_cut(self, part: str) -> bytes:
+        if self.rule == "dropped":
+            return self._part("", part)
+        if part.startswith("\n"):  # the cut was before a line end
+            return self.marks["\n"] + self._part("", part[1:])
+        return self._part(" ", part)
+
+    def _ids(self, text: str) -> bytes:
+        if self.rule is None or any(s in text for s in self.special):
+            return self._whole(text)
         if self.rule == "dropped":
-            parts = [texts[i].replace("\n", " ").split(" ") for i in cut]
-            ids = self._look_up(self.rest, parts, "")
-        else:
-            parts = [_SAFE_SPACE.split(t) if _RUN.search(t) else t.split(" ") for t in (texts[i] for i in cut)]
-            ids = [a + b for a, b in zip(self._look_up(self.first, [p[:1] for p in parts], ""),
-                                         self._look_up(self.rest, [p[1:] for p in parts], " "))]
-        out = dict(zip(cut, ids)) | {i: self._whole(texts[i]) for i in whole}
-        return [out[i] for i in range(len(texts))]
+            return b"".join(map(self.rest.__getitem__, text.replace("\n", " ").split(" ")))
+        odd = text[:1].isspace() or text[-1:].isspace() or any(s in text for s in _ODD_SPACES)
+        parts = _SAFE.split(text) if odd else text.replace("\n", " \n").split(" ")
+        return b"".join([self.first[parts[0]], *map(self.rest.__getitem__, parts[1:])])
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text, in order."""
-        start, size = 0, 0
-        for i, text in enumerate(texts):
-            size += len(text)
-            if size >= TOGETHER or i == len(texts) - 1:
-                yield from self._some(texts[start:i + 1])
-                start, size = i + 1, 0
+        return map(self._ids, texts)

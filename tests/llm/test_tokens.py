@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from helpers import CLASHING, corpus, frame
-from tablescope.llm import idcoder, idfile, packing
+from tablescope.llm import idcoder, idfile, packing, tokens
 from tablescope.llm.tokens import Encoder
 from tablescope.session import new_path
 
@@ -29,6 +29,41 @@ def test_ids_are_the_librarys(path):
         assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@pytest.mark.parametrize("path", [WORD_BPE, BYTE_BPE])
+def test_cuts_and_letters_are_the_librarys(path, monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 40)  # words are forgotten all the time
+    rng = random.Random(3)
+    spaces = [" ", "  ", "\n", "\n\n", "\n ", " \n", "\t", "\r\n", "\x1c", "\x85", "\u2003", " \t "]
+    letters = [chr(c) for c in range(0x250) if chr(c).isalpha()]
+    words = ["".join(rng.choices(letters, k=rng.randint(1, 4))) + rng.choice(["", "", ".", "),", "'s", "7", "_"]) for _ in range(400)]
+    texts = ["".join(rng.choice(words) + rng.choice(spaces if k % 2 else " \n") for _ in range(rng.randint(1, 15))) for k in range(1500)]
+    texts += [t.strip() for t in texts] + [c + c.lower() + c for c in letters] + ["\n" + w for w in words]
+    library = Tokenizer.from_file(path)
+    encoder = Encoder(path)
+    for _ in range(2):
+        got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)]
+        assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+class Counting:
+    def __init__(self, library):
+        self.library, self.n_chars = library, 0
+
+    def encode(self, text, **options):
+        self.n_chars += len(text)
+        return self.library.encode(text, **options)
+
+
+@pytest.mark.parametrize("path", [WORD_BPE, BYTE_BPE])
+def test_plain_words_skip_what_the_library_would_not_change(path):
+    encoder = Encoder(path)
+    encoder.library = counting = Counting(encoder.library)
+    text = "\n".join(" ".join(f"{a}{b}{c}{d}é," for d in "ghij") + " end." for a in "abcde" for b in "klmno" for c in "uvwxy")
+    got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode([text])]
+    assert counting.n_chars < 20
+    assert got == [counting.library.encode(text, add_special_tokens=False).ids]
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.lists(st.one_of(st.integers(0, 5), st.integers(0, 2 ** 18 - 1)), max_size=300), max_size=6))
 def test_blocks_come_back(blocks):
