@@ -30,8 +30,9 @@ _ONE = 1 << _BITS
 _SURE = 3  # highest confidence
 _SIZE_BITS = 12  # of the probability of a size
 _REVIEW = 32  # ids after which order 0's probabilities follow its counts
-_TOP, _LOW, _UNIT = np.uint64(48), np.uint64(32), np.uint64(16)
-_MASK32, _MASK48 = np.uint64(0xFFFFFFFF), np.uint64((1 << 48) - 1)
+_LOW, _UNIT = np.uint64(32), np.uint64(16)
+_MASK32 = np.uint64(0xFFFFFFFF)
+_UNIT32, _MASK16 = np.uint32(16), np.uint32(0xFFFF)
 _SIZE_OF = np.repeat(np.arange(SIZES, dtype=np.uint8), [1, *(1 << np.arange(SIZES - 1))])
 
 
@@ -40,11 +41,11 @@ class Predictor:
 
     def __init__(self, blocks: int):
         self.last, self.before = np.zeros(blocks, np.int32), np.zeros(blocks, np.int32)
-        self.base = np.arange(blocks, dtype=np.int32) * _SLOTS
+        self.base = np.arange(blocks) * _SLOTS
         # a slot is the id named times four, plus the confidence in it; ids named at first do not exist
         self.slots = [np.full(blocks * _SLOTS, (1 << SIZES) * 4, np.int32) for _ in range(2)]
         pairs = 2 * (_SURE + 1) ** 2
-        self.pairs = np.arange(blocks, dtype=np.int32) * pairs
+        self.pairs = np.arange(blocks) * pairs
         #: for each pair of confidences: whether order 2 is right, and whether order 1 is if order 2 is not
         self.right = [np.full(blocks * pairs, _ONE // 8, np.int32) for _ in range(2)]
         self.counts = np.ones((blocks, SIZES), np.int32)
@@ -63,23 +64,25 @@ class Predictor:
         one = (self.last[:n] * 40503) & 0xFFFFFF
         two = (one + self.before[:n] * 2741) & 0xFFFFFF
         self.at = (self.base[:n] + (two >> 7 & (_SLOTS - 1)), self.base[:n] + (one >> 6 & (_SLOTS - 1)))
-        self.now = two, one = self.slots[0][self.at[0]], self.slots[1][self.at[1]]
+        self.now = two, one = self.slots[0].take(self.at[0]), self.slots[1].take(self.at[1])
         id_two, id_one = two >> 2, one >> 2
         self.pair = self.pairs[:n] + (((id_two == id_one) * 4 + (two & 3)) * 4 + (one & 3))
-        self.chance = self.right[0][self.pair], self.right[1][self.pair]
+        self.chance = self.right[0].take(self.pair), self.right[1].take(self.pair)
         end_two = 1 + (self.chance[0] * (_ONE - 64) >> _BITS)
         end_one = end_two + 1 + ((_ONE - 64 - end_two) * self.chance[1] >> _BITS)
         return id_two, id_one, end_two, end_one
 
     def learn(self, n: int, ids: np.ndarray, by_two: np.ndarray, by_one: np.ndarray, missed: np.ndarray, sizes: np.ndarray) -> None:
+        fresh = ids << 2
+        sure = fresh | _SURE
         for at, slots, slot in zip(self.at, self.slots, self.now):
-            trust = slot & 3
-            right = slot >> 2 == ids
-            slots[at] = np.where(right, slot + (trust < _SURE), np.where(trust == 0, ids << 2, slot - 1))
+            slots[at] = np.where(slot ^ fresh <= _SURE, np.minimum(slot + 1, sure), np.where(slot & 3, slot - 1, fresh))
         two, one = self.chance
         self.right[0][self.pair] = two + ((by_two * (_ONE - 1) - two) >> 5)
         self.right[1][self.pair] = np.where(by_two, one, one + ((by_one * (_ONE - 1) - one) >> 5))
-        self.counts[missed, sizes] += 1
+        at = missed * SIZES + sizes
+        counts = self.counts.ravel()
+        counts[at] = counts.take(at) + 1
         self.before[:n] = self.last[:n]
         self.last[:n] = ids
 
@@ -104,31 +107,30 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
     running = _running(lengths[order], steps)
     model = Predictor(len(blocks))
     low, width = np.zeros(len(blocks), np.uint64), np.full(len(blocks), 1 << 48, np.uint64)
-    out, used = np.zeros((len(blocks), 3 * steps + 8), np.uint16), np.zeros(len(blocks), np.int64)
-
-    def carry(rows: np.ndarray) -> None:
-        """Into units already written."""
-        for row in rows[low[rows] >> _TOP > 0].tolist():
-            k = used[row] - 1
-            while out[row, k] == 0xFFFF:
-                out[row, k] = 0
-                k -= 1
-            out[row, k] += 1
-        low[rows] &= _MASK48
+    # a unit may hold a carry into the one before, in its 17th bit, until the end
+    out, used = np.zeros((len(blocks), 3 * steps + 8), np.uint32), np.zeros(len(blocks), np.int64)
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
 
     def put(rows: np.ndarray) -> None:
-        at = low[rows]
-        out[rows, used[rows]] = at >> _LOW
-        used[rows] += 1
+        at = low.take(rows)
+        waiting.append((rows.astype(np.int32), (at >> _LOW).astype(np.uint32)))
         low[rows] = (at & _MASK32) << _UNIT
 
+    def place() -> None:
+        """The units that wait, into their blocks."""
+        rows, values = (np.concatenate(x) for x in zip(*waiting))
+        waiting.clear()
+        order = np.argsort(rows, kind="stable")
+        times = np.bincount(rows, minlength=len(blocks))
+        begins = used - (np.cumsum(times) - times)
+        out[rows[order], np.arange(len(rows)) + np.repeat(begins, times)] = values[order]
+        used[:] += times
+
     def narrow(rows: np.ndarray) -> None:
-        """Write units of those of ``rows`` whose interval has become small."""
-        rows = rows[width[rows] >> _LOW == 0]
+        """Write units of ``rows``, whose interval has become small."""
         while len(rows):
-            carry(rows)
             put(rows)
-            wide = width[rows] << _UNIT
+            wide = width.take(rows) << _UNIT
             width[rows] = wide
             rows = rows[wide >> _LOW == 0]
 
@@ -147,24 +149,33 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
         low[:n] += step * start.astype(np.uint64)
         width[:n] = step * (stop - start).astype(np.uint64)
         missed = np.flatnonzero(~(by_two | by_one))
-        narrow(every[:n])
-        sizes = _SIZE_OF[ids[missed]]
-        first = model.ends[missed, sizes]
-        step = width[missed] >> np.uint64(_SIZE_BITS)
-        at = low[missed] + step * first.astype(np.uint64)
-        step *= (model.ends[missed, sizes + 1] - first).astype(np.uint64)
+        narrow(np.flatnonzero(width[:n] >> _LOW == 0))
+        new = ids.take(missed)
+        sizes = _SIZE_OF.take(new)
+        at = missed * (SIZES + 1) + sizes
+        ends = model.ends.ravel()
+        first = ends.take(at)
+        step = width.take(missed) >> np.uint64(_SIZE_BITS)
+        begin = low.take(missed) + step * first.astype(np.uint64)
+        step *= (ends.take(at + 1) - first).astype(np.uint64)
         bits = np.maximum(sizes, 1) - 1
         step >>= bits.astype(np.uint64)
-        low[missed] = at + step * (ids[missed] & ((1 << bits.astype(np.int32)) - 1)).astype(np.uint64)
+        low[missed] = begin + step * (new & ((1 << bits.astype(np.int32)) - 1)).astype(np.uint64)
         width[missed] = step
-        narrow(missed)
+        narrow(missed[step >> _LOW == 0])
         model.learn(n, ids, by_two, by_one, missed, sizes)
-    carry(every)
+        if t % _REVIEW == _REVIEW - 1 and waiting:
+            place()
     for _ in range(3):
         put(every)
+    place()
     result: list[bytes] = [b""] * len(blocks)
     for row, k in enumerate(order.tolist()):
-        result[k] = out[row, :used[row]].astype("<u2").tobytes()
+        units = out[row, :used[row]]
+        while (over := units >> _UNIT32).any():
+            units &= _MASK16
+            units[:-1] += over[1:]
+        result[k] = units.astype("<u2").tobytes()
     return result
 
 
@@ -185,18 +196,17 @@ def decode(units: list[bytes], lengths) -> list[np.ndarray]:
     code = (data[:, 0].astype(np.uint64) << _LOW) | (data[:, 1].astype(np.uint64) << _UNIT) | data[:, 2]
     used = np.full(len(units), 3)
     table = np.zeros((steps, len(units)), np.int32)
-    last = data.shape[1] - 1
+    last, every, flat = data.shape[1] - 1, np.arange(len(units)) * data.shape[1], data.ravel()
 
     def narrow(rows: np.ndarray) -> None:
-        rows = rows[width[rows] >> _LOW == 0]
         while len(rows):
-            code[rows] = (code[rows] << _UNIT) | data[rows, np.minimum(used[rows], last)]
-            used[rows] += 1
-            wide = width[rows] << _UNIT
+            at = used.take(rows)
+            code[rows] = (code.take(rows) << _UNIT) | flat.take(every.take(rows) + np.minimum(at, last))
+            used[rows] = at + 1
+            wide = width.take(rows) << _UNIT
             width[rows] = wide
             rows = rows[wide >> _LOW == 0]
 
-    every = np.arange(len(units))
     for t in range(steps):
         if t % _REVIEW == 0:
             model.review()
@@ -212,21 +222,22 @@ def decode(units: list[bytes], lengths) -> list[np.ndarray]:
         code[:n] -= step * start.astype(np.uint64)
         width[:n] = step * (stop - start).astype(np.uint64)
         missed = np.flatnonzero(place >= end_one)
-        narrow(every[:n])
-        step = width[missed] >> np.uint64(_SIZE_BITS)
-        at = code[missed]
+        narrow(np.flatnonzero(width[:n] >> _LOW == 0))
+        step = width.take(missed) >> np.uint64(_SIZE_BITS)
+        at = code.take(missed)
         place = np.minimum(at // step, np.uint64((1 << _SIZE_BITS) - 1)).astype(np.int32)
-        sizes = (model.ends[missed] <= place[:, None]).sum(axis=1, dtype=np.uint8) - np.uint8(1)
-        first = model.ends[missed, sizes]
+        sizes = (model.ends.take(missed, axis=0).T <= place).sum(axis=0, dtype=np.uint8) - np.uint8(1)
+        where, ends = missed * (SIZES + 1) + sizes, model.ends.ravel()
+        first = ends.take(where)
         at -= step * first.astype(np.uint64)
-        step *= (model.ends[missed, sizes + 1] - first).astype(np.uint64)
+        step *= (ends.take(where + 1) - first).astype(np.uint64)
         bits = (np.maximum(sizes, 1) - 1).astype(np.int32)
         step >>= bits.astype(np.uint64)
         rest = np.minimum(at // step, ((1 << bits) - 1).astype(np.uint64))
         code[missed] = at - step * rest
         width[missed] = step
         ids[missed] = np.where(sizes > 0, rest.astype(np.int32) + (1 << bits), 0)
-        narrow(missed)
+        narrow(missed[step >> _LOW == 0])
         table[t, :n] = ids
         model.learn(n, ids, by_two, by_one, missed, sizes)
     result: list[np.ndarray] = [np.zeros(0, np.int32)] * len(units)

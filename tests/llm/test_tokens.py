@@ -1,4 +1,5 @@
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -173,3 +174,24 @@ def test_search_is_never_worse_than_best_fit(sizes):
     assert len(packed) <= len(bins.items)
     assert sorted(i for b in packed for i in b) == list(range(len(sizes)))
     assert all(sum(sizes[i] for i in b) <= 40 for b in packed)
+
+
+def test_a_step_of_the_coder_does_not_go_through_its_blocks_one_by_one():
+    """Carries into units already written were made in a loop over the blocks at every step."""
+    rng = np.random.default_rng(3)
+    blocks = [rng.integers(0, 50_000, 200) for _ in range(1000)]
+    ran = [0]
+
+    def count(frame, event, arg):
+        if "idcoder" not in frame.f_code.co_filename:
+            return None
+        ran[0] += event == "line"
+        return count
+
+    sys.settrace(count)
+    try:
+        units = idcoder.encode(blocks)
+    finally:
+        sys.settrace(None)
+    assert ran[0] < 200 * 110 + 1000 * 12
+    assert all(np.array_equal(a, b) for a, b in zip(blocks, idcoder.decode(units, [200] * 1000)))
