@@ -58,6 +58,7 @@ class Predictor:
         self.ends = np.zeros((len(total), SIZES + 1), np.int32)
         self.ends[:, 1:] = total * room // total[:, -1:] + np.arange(1, SIZES + 1)
         self.ends[:, -1] = 1 << _SIZE_BITS
+        self.by_size = np.ascontiguousarray(self.ends.T, np.int16)
 
     def predict(self, n: int) -> tuple[np.ndarray, ...]:
         """Order 2's and order 1's id, and the ends of their parts of the interval, for the first ``n`` blocks."""
@@ -225,8 +226,9 @@ def decode(units: list[bytes], lengths) -> list[np.ndarray]:
         narrow(np.flatnonzero(width[:n] >> _LOW == 0))
         step = width.take(missed) >> np.uint64(_SIZE_BITS)
         at = code.take(missed)
-        place = np.minimum(at // step, np.uint64((1 << _SIZE_BITS) - 1)).astype(np.int32)
-        sizes = (model.ends.take(missed, axis=0).T <= place).sum(axis=0, dtype=np.uint8) - np.uint8(1)
+        place = np.zeros(n, np.int16)
+        place[missed] = np.minimum(at // step, np.uint64((1 << _SIZE_BITS) - 1))
+        sizes = (model.by_size[:, :n] <= place).sum(axis=0, dtype=np.uint8).take(missed) - np.uint8(1)
         where, ends = missed * (SIZES + 1) + sizes, model.ends.ravel()
         first = ends.take(where)
         at -= step * first.astype(np.uint64)
